@@ -1 +1,136 @@
-"""Queries of parsing, planning, layout, export and streaming."""
+"""Queries of parsing, planning, layout, export and state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioflow.functions import text as T
+from folioflow.operators import export, layout, planning
+from folioflow.operators import units as U
+from folioflow.plans.catalog import NEWEST, _docs, _events, _units, query, trim_sql
+from folioflow.sources import formats
+from folioflow.streaming import usage as state
+from folioflow.tables import ship, table
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(file_name, '')), '\\.(md|markdown)$') THEN 'markdown' WHEN regexp_matches(lower(coalesce(file_name, '')), '\\.html?$') THEN 'html' WHEN lower(coalesce(file_name, '')) LIKE '%.docx' THEN 'docx' ELSE 'text' END AS format FROM documents")
+def detect_format(spark, d):
+    return _docs(spark, d).select("doc_id", formats.format_of(F.col("file_name")).alias("format"))
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(regexp_extract(lower(file_name), '\\.([^.]+)$', 1), '') NOT IN ('pdf', 'docx', 'txt', 'md', 'markdown', 'html', 'htm', 'json', 'csv') THEN 'unsupported_type' WHEN coalesce(n_chars, 0) = 0 THEN 'empty' END AS rejected FROM documents")
+def file_checks(spark, d):
+    return _docs(spark, d).select("doc_id", formats.rejection(F.col("file_name"), F.col("n_chars")).alias("rejected"))
+
+
+def _raw(spark, d, format_: str | None = None) -> DataFrame:
+    ship(spark)
+    f = F.lit(format_) if format_ else formats.format_of(F.col("file_name"))
+    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), f.alias("format"), F.col("text").alias("raw"))
+
+
+@query()
+def parsed_blocks(spark, d):
+    return formats.parse_documents(_raw(spark, d))
+
+
+@query()
+def markdown_blocks(spark, d):
+    return formats.parse_documents(_raw(spark, d, "markdown"))
+
+
+@query()
+def plain_text_blocks(spark, d):
+    return formats.parse_documents(_raw(spark, d, "text"))
+
+
+@query()
+def html_blocks(spark, d):
+    return formats.parse_documents(_raw(spark, d, "html"))
+
+
+@query()
+def plan_batches(spark, d):
+    ship(spark)
+    docs = table(spark, d, "export_document").groupBy("document_id").agg(F.max("target_language").alias("target"))
+    u = _units(spark, d, "order_index", "source_text", "flags", "unit_status").where(~U.is_furniture(F.col("flags")) & ~U.is_done())
+    return planning.plan_batches(u.join(docs, "document_id", "left").withColumn("document", F.lit("pdf")), 16_384, 4_096)
+
+
+@query()
+def analyze_page(spark, d):
+    ship(spark)
+    g = table(spark, d, "grouped_line").select("line_id", "document_id", "page_index", "text", "bbox.x", "bbox.y", "bbox.width", "bbox.height", "font_size", "font_key").distinct()
+    return layout.analyze_pages(g.drop("line_id"))
+
+
+def _export_blocks(spark, d) -> DataFrame:
+    b = _units(spark, d, "page_index", "order_index", "kind", "source_text", "translated_text", "heading_level", "list_ordered", "table_ir", "link", "alignment", "flags").where(~U.is_furniture(F.col("flags")))
+    rows = F.coalesce(F.col("table_ir.cells"), F.array().cast("array<array<string>>"))
+    cell = lambda c: T.escape_cell(F.coalesce(c, F.lit("")))
+    md = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.coalesce(r, F.array().cast("array<string>")), cell), " | "), F.lit(" |"))), "\n")
+    return b.select(
+        "document_id", "page_index", "order_index", "link", "alignment", "translated_text", export.shown(F.col("translated_text"), F.col("source_text")).alias("text"),
+        F.when(F.col("kind") == "heading", F.least(F.lit(6), F.greatest(F.lit(1), F.coalesce("heading_level", F.lit(1))))).alias("heading"), (F.coalesce(F.col("kind") == "table", F.lit(False))).alias("is_table"), md.alias("md_table"),
+        F.when(F.col("kind") == "list", F.coalesce("list_ordered", F.lit(False))).alias("list_ordered"),
+    )
+
+
+def _rendered(spark, d, kind: str) -> DataFrame:
+    r = export.render(_export_blocks(spark, d), table(spark, d, "export_document"), kind)
+    return r.select("document_id", F.length("body").cast("bigint").alias("chars"), F.md5("body").alias("h"))
+
+
+_BLOCKS = f"""{NEWEST}, b AS (SELECT document_id, page_index, order_index, link, coalesce(CASE WHEN {trim_sql('translated_text')} <> '' THEN translated_text END, source_text) AS t,
+    CASE WHEN kind = 'heading' THEN least(6, greatest(1, coalesce(heading_level, 1))) END AS h, coalesce(kind = 'table', false) AS tab, CASE WHEN kind = 'list' THEN coalesce(list_ordered, false) END AS lo FROM u WHERE NOT coalesce(list_has_any(flags, ['page_number', 'header_footer']), false)),
+    i AS (SELECT *, CAST(coalesce(lo, false) AND h IS NULL AS INT) AS item FROM b), r AS (SELECT *, sum(1 - item) OVER (PARTITION BY document_id ORDER BY order_index ROWS UNBOUNDED PRECEDING) AS run FROM i),
+    n AS (SELECT *, sum(item) OVER (PARTITION BY document_id, run ORDER BY order_index ROWS UNBOUNDED PRECEDING) AS k FROM r)"""
+
+
+@query(
+    f"""WITH {_BLOCKS}, l AS (SELECT document_id, page_index, order_index, CASE WHEN h IS NOT NULL THEN t || chr(10) || repeat(CASE WHEN h <= 2 THEN '=' ELSE '-' END, CAST(least(60, greatest(3, length(t))) AS INT)) || chr(10) || chr(10)
+      WHEN tab THEN t || chr(10) || chr(10) WHEN lo THEN k || '. ' || t || chr(10) WHEN NOT lo THEN '• ' || t || chr(10) ELSE CASE WHEN link IS NOT NULL AND NOT contains(t, link) THEN t || ' <' || link || '>' ELSE t END || chr(10) || chr(10) END AS line FROM n),
+    p AS (SELECT document_id, page_index, string_agg(line, '' ORDER BY order_index) AS page FROM l GROUP BY ALL), x AS (SELECT document_id, string_agg(page, chr(12) || chr(10) ORDER BY page_index) AS body FROM p GROUP BY 1),
+    dd AS (SELECT document_id, max(title) AS title, max(target_language) AS tl FROM export_document GROUP BY 1),
+    f AS (SELECT dd.document_id, regexp_replace(coalesce(title, '') || chr(10) || coalesce(tl, '') || chr(10) || chr(10) || coalesce(body, ''), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM dd LEFT JOIN x ON x.document_id = dd.document_id)
+    SELECT document_id, CAST(length(body) AS BIGINT) AS chars, md5(body) AS h FROM f"""
+)
+def render_text(spark, d):
+    return _rendered(spark, d, "text")
+
+
+@query()
+def render_markdown(spark, d):
+    return _rendered(spark, d, "markdown")
+
+
+@query()
+def render_html(spark, d):
+    return _rendered(spark, d, "html")
+
+
+@query()
+def render_docx(spark, d):
+    ship(spark)
+    return export.render_docx(_export_blocks(spark, d)).select("document_id", F.length("content").alias("bytes"))
+
+
+@query(f"WITH {_BLOCKS} SELECT document_id, page_index, order_index, h AS heading, lo AS list_ordered, md5(t) AS text_hash FROM b")
+def json_round_trip(spark, d):
+    back = export.restore(export.serialize(_export_blocks(spark, d), table(spark, d, "export_document")))
+    return back.select("document_id", "page_index", "order_index", "heading", "list_ordered", F.md5("text").alias("text_hash"))
+
+
+@query()
+def export_findings(spark, d):
+    return export.findings(table(spark, d, "export_document"), _export_blocks(spark, d))
+
+
+@query()
+def key_runtime_fold(spark, d):
+    ship(spark)
+    o = F.lower(F.coalesce("finish_reason", F.lit("stop")))
+    outcome = F.when(o.isin("stop", "end_turn"), "ok").when(o.isin("length", "max_tokens"), "rate_limit").when(o.isin("safety", "content_filter", "refusal"), "server").otherwise("quota")
+    e = _events(spark, d).select("key_id", F.unix_millis("at").alias("at_ms"), "id", outcome.alias("outcome"))
+    return state.key_health_batch(e)
