@@ -1,8 +1,8 @@
-"""Language of a text by scripts and function words, as one column expression."""
+"""Language of a text by scripts and function words, as column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
@@ -17,36 +17,39 @@ def _among(values: list[str]):
     return lambda w: w.isin(*values)
 
 
-def detect(text: Column) -> Column:
-    """struct(code, confidence): unknown with 0 for too few letters; null counts as empty.
+def detect(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, code, confidence): unknown with 0 for too few letters; null counts as empty.
 
     The script of most letters decides first (ties in the order of the class
     list); Latin letters are told apart by the share of function words among
-    the first 400 words.
+    the first 400 words. The work is laid out in steps, each of whose values
+    is used several times by the next, so that none is worked out twice.
     """
-    s = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE)
-    n = T.script_counts(F.regexp_replace(s, T.SPACE, ""))
-    letters = sum(n.values(), F.lit(0))
+    kinds = list(T.SCRIPTS)
+    one = df.select(key, F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE).alias("s"))
+    counts = T.script_counts(F.regexp_replace("s", T.SPACE, ""))
+    two = one.select(key, "s", *[v.alias(f"n_{k}") for k, v in counts.items()], T.words(F.col("s")).alias("w"))
+    n = {k: F.col(f"n_{k}") for k in kinds}
+    three = two.select(
+        key, "s", *n.values(), "w", F.slice("w", 1, 400).alias("window"), sum(n.values(), F.lit(0)).alias("letters"), F.greatest(*n.values()).alias("most")
+    ).select(
+        "*", F.coalesce(*[F.when(v == F.col("most"), F.lit(k)) for k, v in n.items()]).alias("top"), F.least(F.lit(1.0), F.col("letters") / F.lit(40.0)).alias("factor"),
+        *[(F.size(F.filter("window", _among(v))) / F.greatest(F.lit(1), F.size("window"))).alias(f"v_{k}") for k, v in T.STOPWORDS.items()],
+    )
+    letters, top, factor = F.col("letters"), F.col("top"), F.col("factor")
     share = {k: v / letters for k, v in n.items()}
-    most = F.greatest(*n.values())
-    factor = F.least(F.lit(1.0), letters / F.lit(40.0))
-    top = F.coalesce(*[F.when(v == most, F.lit(k)) for k, v in n.items()])
+    value = {k: F.col(f"v_{k}") for k in T.STOPWORDS}
+    four = three.select("*", F.greatest(*value.values()).alias("best"), F.when(top == "latin", F.coalesce(*[F.when(F.col("s").rlike(p), F.lit(code)) for p, code in HINTS])).alias("hint"))
+    best, hint = F.col("best"), F.col("hint")
+
     tempered = lambda x: x * (F.lit(0.75) + F.lit(0.25) * factor)
-    low = F.lower(s)
-    particles = sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in T.BURMESE), F.lit(0))
-    russian = F.size(F.array_intersect(T.words(s), F.array(*map(F.lit, T.RUSSIAN))))
+    particles = F.size(F.filter(F.array(*map(F.lit, T.BURMESE)), lambda p: F.contains(F.lower("s"), p)))
+    russian = F.size(F.array_intersect("w", F.array(*map(F.lit, T.RUSSIAN))))
     arabic, persian = share["arabic"], share["persian"]
-    simple, trad = T.count_of(s, f"[{T.SIMPLIFIED}]"), T.count_of(s, f"[{T.TRADITIONAL}]")
-
-    window = F.slice(T.words(s), 1, 400)
-    checked = F.greatest(F.lit(1), F.size(window))
-    value = {k: F.size(F.filter(window, _among(v))) / checked for k, v in T.STOPWORDS.items()}
-    best = F.greatest(*value.values())
-    hint = F.coalesce(*[F.when(s.rlike(p), F.lit(code)) for p, code in HINTS])
+    simple, trad = T.count_of(F.col("s"), f"[{T.SIMPLIFIED}]"), T.count_of(F.col("s"), f"[{T.TRADITIONAL}]")
     latin = F.when(best > 0, F.coalesce(*[F.when(v == best, F.lit(k)) for k, v in value.items()])).otherwise(F.coalesce(hint, F.lit("en")))
     evidence = F.when(best > 0, best).when(hint.isNotNull(), F.lit(0.04)).otherwise(F.lit(0.0))
     latin_sure = F.when(evidence > 0, (F.lit(0.35) + F.least(F.lit(0.55), evidence * 6) * (F.lit(0.7) + F.lit(0.3) * factor)) * share["latin"]).otherwise(F.lit(0.35))
-
     code = (
         F.when(letters < LETTERS, "unknown")
         .when(top.isin("persian", "arabic"), F.when((persian > 0.02) & (persian >= arabic * 0.4), "fa").otherwise("ar"))
@@ -62,6 +65,6 @@ def detect(text: Column) -> Column:
         .when(top == "kana", tempered(share["kana"] + share["han"]))
         .when(top == "myanmar", tempered(share["myanmar"]) + F.least(F.lit(0.15), particles * F.lit(0.03)))
         .when(top == "cyrillic", tempered(share["cyrillic"]) + F.when(russian >= 3, 0.1).otherwise(0.0))
-        .otherwise(tempered(most / letters))
+        .otherwise(tempered(F.col("most") / letters))
     )
-    return F.struct(code.alias("code"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(letters < LETTERS, 0.0).otherwise(sure))), 3).alias("confidence"))
+    return four.select(key, code.alias("code"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sure)), 3).alias("confidence"))

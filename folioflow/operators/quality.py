@@ -121,13 +121,9 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
 
     q, m = side(queries, "query_id"), side(memory, "match_id")
 
-    # multiset words as (word, which occurrence), so that multiset Dice is set Dice
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        ws = F.filter(F.split("t", " "), lambda w: w != "")
-        occ = F.transform(ws, lambda w, i: F.concat_ws("#", w, F.size(F.filter(F.slice(ws, F.lit(1), i + 1), lambda y: y == w)).cast("string")))
-        return df.select(name, "project_id", "target", F.size(ws).alias("n"), F.explode(occ).alias("g"))
-
-    gm, gq = grams(m, "match_id"), grams(q, "query_id")
+    qa, mb = features(q.withColumnRenamed("query_id", "_id"), "a").withColumnRenamed("_id", "query_id"), features(m.withColumnRenamed("match_id", "_id"), "b").withColumnRenamed("_id", "match_id")
+    gq = qa.select("query_id", "project_id", "target", F.size("a.words").alias("n"), F.explode("a.words").alias("g"))
+    gm = mb.select("match_id", "project_id", "target", F.size("b.words").alias("n"), F.explode("b.words").alias("g"))
     rarity = gm.groupBy("g").agg(F.count("*").alias("f"))
 
     def prefix(g: DataFrame, name: str) -> DataFrame:
@@ -137,7 +133,6 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
 
     a, b = prefix(gq, "query_id"), prefix(gm, "match_id").withColumnRenamed("n", "n2")
     pairs = a.join(b, ["project_id", "target", "g"]).where((F.lit(2.0) * F.least("n", "n2") / (F.col("n") + F.col("n2")) >= d) & (F.col("query_id") != F.col("match_id"))).select("query_id", "match_id", "project_id", "target").distinct()
-    qa, mb = features(q.withColumnRenamed("query_id", "_id"), "a").withColumnRenamed("_id", "query_id"), features(m.withColumnRenamed("match_id", "_id"), "b").withColumnRenamed("_id", "match_id")
     common = lambda k: F.lit(2.0) * F.size(F.array_intersect(f"a.{k}", f"b.{k}")) / (F.size(f"a.{k}") + F.size(f"b.{k}"))
     score = F.when(F.col("a.same") == F.col("b.same"), F.lit(1.0)).otherwise(F.lit(0.5) * common("words") + F.lit(0.5) * common("pairs"))
     scored = pairs.join(qa, ["query_id", "project_id", "target"]).join(mb, ["match_id", "project_id", "target"]).select("query_id", "match_id", score.alias("score")).where(F.col("score") >= least)

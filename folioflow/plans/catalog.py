@@ -101,8 +101,7 @@ def stopword_tokens(spark, d):
 def detect_language(spark, d):
     from folioflow.functions.language import detect
 
-    r = detect(F.col("text"))
-    return _docs(spark, d).select("doc_id", r["code"].alias("code"), r["confidence"].alias("confidence"))
+    return detect(_docs(spark, d), "doc_id")
 
 
 _NUM = r"regexp_extract_all(text, '\b\d+(?:[.,]\d+)?\b')"
@@ -307,13 +306,14 @@ def glossary_violations(spark, d):
 
 
 @query()
-def similar_top3(spark, d):
-    u = _units(spark, d, "source_text", "translated_text", "unit_status", "kind")
+def memory_autofill(spark, d):
+    u = _units(spark, d, "source_text", "translated_text", "unit_status")
     t = table(spark, d, "export_document").groupBy("document_id").agg(F.max("target_language").alias("target"))
     m = u.where(U.is_done() & (T.trim(F.col("translated_text")) != "")).join(t, "document_id")
     m = m.groupBy("project_id", "target", F.col("source_text").alias("text")).agg(F.min("block_id").alias("id"))
-    q = m.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0)
-    return quality.similar_units(q, m, 0.8, 3)
+    q = m.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0)  # the stated query set, against all units
+    ship(spark)
+    return quality.similar_units(q, m, 0.9, 1)
 
 
 # --- usage and pools ------------------------------------------------------------------------------------------------
