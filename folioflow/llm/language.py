@@ -36,9 +36,9 @@ NAMES = {
 CODE = {n: code for code, names in NAMES.items() for n in names.split()}
 
 #: What carries no language, taken out before compression.
-NEUTRAL = re.compile(
-    r"https?://\S+|www\.\S+|\S+@\S+\.\S+|\b[\w.-]*\w\.(?:docx?|pdf|txt|md|html?|csv|json|xml|example)\S*|\b[A-Za-z]+[_/\\][\w/\\.]*|\d[\d.,:/%-]*|[(){}\[\]<>=|#*`~^_+]+"
-)
+ADDRESSES = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|\b[\w-][\w.-]*\.(?:docx?|pdf|txt|md|html?|csv|json|xml|example)\S*|\b[A-Za-z]+[_/\\][\w/\\.]*")
+NUMBERS = re.compile(r"\d[\d.,:/%-]*|[(){}\[\]<>=|#*`~^_+]+")
+HAS_ADDRESS = re.compile(r"www|http|[@_/\\]|\.[a-z]{2}")
 #: Lines that look like program text.
 CODEY = re.compile(r"=>|\(\)|\);?\s*$|^\s*(?:const|let|var|def|import|return|SELECT|export --|if \(|for \w+ in)\b|\w\(\w*[\"'.,)]|--\w+-\w+|^\s*[\w.]+\([^)]*\)", re.M)
 #: Sentence ends, for cutting stretches; a longer unit only lowers resolution.
@@ -46,12 +46,12 @@ STOPS = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？။])[”’
 #: A title or an initial before a stop, after which no stretch is cut.
 TITLE = re.compile(r"(?:^|[\s(])[^\W\d_a-zà-ÿа-я]\w{0,3}\.$")
 CLASSES = (
-    ("kana", re.compile("[぀-ヿ]")),
-    ("han", re.compile("[㐀-鿿]")),
-    ("thai", re.compile("[฀-๿]")),
-    ("burmese", re.compile("[က-႟]")),
-    ("cyrillic", re.compile("[Ѐ-ӿ]")),
-    ("latin", re.compile("[A-Za-zÀ-ɏ]")),
+    ("kana", re.compile("[぀-ヿ]+")),
+    ("han", re.compile("[㐀-鿿]+")),
+    ("thai", re.compile("[฀-๿]+")),
+    ("burmese", re.compile("[က-႟]+")),
+    ("cyrillic", re.compile("[Ѐ-ӿ]+")),
+    ("latin", re.compile("[A-Za-zÀ-ɏ]+")),
 )
 SCRIPTS = {"han": ("zh", "ja"), "thai": ("th",), "burmese": ("my",), "cyrillic": ("ru",), "latin": LATIN, "kana": ("ja",)}
 
@@ -66,13 +66,15 @@ def label_code(label: str | None) -> str | None:
 
 def plain(text: str) -> str:
     """The text without what carries no language."""
-    return NEUTRAL.sub(" ", text)
+    if HAS_ADDRESS.search(text):
+        text = ADDRESSES.sub(" ", text)
+    return NUMBERS.sub(" ", text)
 
 
 def script_counts(text: str) -> dict[str, int]:
     if text.isascii():
         return {"latin": sum(map(str.isalpha, text))}
-    return {name: n for name, rx in CLASSES if (n := len(rx.findall(text)))}
+    return {name: sum(map(len, found)) for name, rx in CLASSES if (found := rx.findall(text))}
 
 
 class Classifier:

@@ -96,10 +96,7 @@ def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     last = _newest_blocks(spark, d, "document_id", "source_text", "unit_status")
-    # a pair's end is judged against the ends of all translations
-    results = table(spark, d, "generate_result").where("false")
-    measured = settle(truncation.measure(truncation.records(results, _newest_blocks(spark, d), table(spark, d, "translation_call").where("false"))))
-    return pairs.pair_defects(last, table(spark, d, "export_document"), truncation.truncated(measured))
+    return pairs.pair_defects(settle(pairs.examine(last, table(spark, d, "export_document"))))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

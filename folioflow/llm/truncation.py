@@ -142,30 +142,27 @@ def records(results: DataFrame, blocks: DataFrame, calls: DataFrame) -> DataFram
     return r.unionByName(b)
 
 
+MEASURED = "record_kind string, record_id string, provider string, project_id string, verdict string, key string, stopped boolean, counts array<string>"
+
+
+def measure_text(text: str, structured: bool) -> tuple:
+    """(verdict, key, stopped, counts) of one text; counts only where a limit could have cut it."""
+    verdict, key, stopped = assess(text, structured)
+    counts = [f"{n}={f(text)}" for n, f in COUNTS.items()] if not stopped and verdict != "whole" and len(text) >= 60 else None
+    return verdict, key if verdict == "ask" else None, stopped, counts
+
+
 def measure(texts: DataFrame) -> DataFrame:
     """Each record's verdict by its own end, key, and recounted lengths, without its text."""
 
     def make():
-        names = list(COUNTS)
-
         def kernel(kind, rid, provider, project, structured, text):
-            out = [[] for _ in range(8)]
-            for row in zip(kind, rid, provider, project, structured, text):
-                verdict, key, stopped = assess(row[5], row[4])
-                ask = verdict == "ask"
-                t = row[5]
-                counts = [f"{n}={COUNTS[n](t)}" for n in names] if not stopped and len(t) >= 60 else None
-                for col, v in zip(out, (row[0], row[1], row[2], row[3], verdict, key if ask else None, stopped, counts)):
-                    col.append(v)
-            return out
+            made = [measure_text(t, s) for t, s in zip(text, structured)]
+            return [kind, rid, provider, project, *map(list, zip(*made))]
 
         return kernel
 
-    return map_rows(
-        texts.select("record_kind", "record_id", "provider", "project_id", "structured", "text"),
-        "record_kind string, record_id string, provider string, project_id string, verdict string, key string, stopped boolean, counts array<string>",
-        make,
-    )
+    return map_rows(texts.select("record_kind", "record_id", "provider", "project_id", "structured", "text"), MEASURED, make)
 
 
 def hidden_limits(measured: DataFrame) -> DataFrame:
