@@ -194,10 +194,10 @@ def repairs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(defects: line_id, defect; words: line_id, word, correction; pages: the prepared lines).
 
     Furniture lines have only that defect; other lines may be both hyphen and
-    misread. Words, corrections and line ends are settled (actions). Null texts count as empty; repeated lines come once.
+    misread. Pages, furniture, words, corrections and line ends are settled (actions). Null texts count as empty; repeated lines come once.
     """
-    pages = prepared(lines)
-    edge = furniture(pages)
+    pages = settle(prepared(lines))
+    edge = settle(furniture(pages))
     body = pages.join(edge.select("line_id"), "line_id", "left_anti")
     toks = settle(tokens(body))
     counts = toks.where("kind = 'word'").groupBy("word").agg(F.count("*").alias("n"))
