@@ -23,7 +23,8 @@ CONFUSIONS = [
     ("é", "6"), ("in", "m"), ("w", "vv"), ("b", "8"), ("b", "6"), ("rn", "m"), ("l", "!"), ("i", "1"), ("i", "l"), ("l", "|"), ("d", "ci"), ("d", "c1"), ("ß", "b"), ("ó", "6"), ("fi", "ﬁ"), ("fl", "ﬂ"),
     ("", "■"), ("", "□"), ("", "^"), ("", "~"), ("", "¦"), ("", "|"), ("", "†"), ("", "¬"), ("", "¤"), ("", "`"), ("", "*"), ("", "_"),
 ]
-JUNK = "■□^~¦|†@¤`*_"
+#: Words after which a hyphen was suspended, not a word's own.
+SUSPENDED = {"und", "oder", "bzw.", "and", "or", "et", "ou", "y", "e", "o", "u"}
 HYPHENS = "-‐‑­¬"
 LINE_END = re.compile(rf"(\S*[^\W\d_]\S*?)[{HYPHENS}]+\s*[.·,'`]?\s*$")
 FIRST = re.compile(r"^\s*(\S+)")
@@ -267,7 +268,8 @@ def paragraphs(lines: DataFrame) -> DataFrame:
                 for x in lines_:
                     fixes.update({f["word"]: f["correction"] for f in x["fixes"] or ()})
                     t = x["text"].strip()
-                    text = text + t if text.endswith("\x00") else f"{text} {t}".strip() if text else t
+                    own = re.search(r"[^\W\d_][-‐‑]$", text) and t[:1].islower() and t.split()[0].lower() not in SUSPENDED if t else None
+                    text = text + t if own or text.endswith("\x00") else f"{text} {t}".strip() if text else t
                     text = text.replace("\x00", "")
                     if x["divided"]:
                         text = re.sub(rf"[{HYPHENS}]+\s*[.·,'`]?\s*$", "", text) + "\x00"
