@@ -25,7 +25,7 @@ CLOSERS = "\"'”’»)\\]）」』〉》】"
 THAI, BURMESE, HAN = "฀-๿", "က-႟", "぀-ヿ㐀-鿿ー々〇"
 #: Where a sentence may end: after stops and closing marks, at a space in Thai, at a line break.
 PLACE = re.compile(
-    rf"(?:[.!?…。！？။؟।]+(?:[\s  ]?[»”](?![^\s.,])|[{CLOSERS}])*|(?<=[”」』»])(?=\s|[^\W_])|(?<=[{THAI}ๆฯ\d)”\"a-zA-Z.])(?= +[“\"(]?[{THAI}A-Za-z])|(?=\n))(\s*)"
+    rf"(?:[.!?…。！？။؟।]+(?:[\s  ]?[»”](?![^\s.,])|“(?=\s|$)|[{CLOSERS}])*|(?<=[”」』»])(?=\s|[^\W_])|(?<=[{THAI}ๆฯ\d)”\"a-zA-Z.])(?= +[“\"(]?[{THAI}A-Za-z])|(?=\n))(\s*)"
 )
 QUOTE = re.compile("[“”„«»「」『』（）()\"]")
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "„": "“"}
@@ -45,7 +45,7 @@ def kind_of(text: str) -> str:
     return "la"
 
 
-SURE = re.compile(r"[!?。！？။؟।]+[^\w\s]*$")
+SURE = re.compile(r"[!?。！？။؟।]+[^\w\s]*$|[.…]+ ?[”»“\"』」]+$|[”»“\"]+[.…]+$|[”»」』]+$")
 
 
 def left_of(text: str) -> str:
@@ -64,10 +64,11 @@ def left_of(text: str) -> str:
 class Place:
     """A candidate: where the sentence would end and the next begin, its features, and whether it is ruled out."""
 
-    __slots__ = ("end", "start", "left", "right", "gap", "shut", "opens", "kind")
+    __slots__ = ("end", "start", "left", "right", "gap", "shut", "opens", "kind", "then")
 
-    def __init__(self, end, start, left, right, gap, shut, opens, kind):
-        self.end, self.start, self.left, self.right, self.gap, self.shut, self.opens, self.kind = end, start, left, right, gap, shut, opens, kind
+    def __init__(self, end, start, left, right, gap, shut, opens, kind, then):
+        self.end, self.start, self.left, self.right, self.gap, self.shut, self.opens = end, start, left, right, gap, shut, opens
+        self.kind, self.then = kind, then  # the writing before and after
 
 
 def spans_of_quotes(text: str) -> list[tuple[int, int]]:
@@ -89,6 +90,21 @@ def spans_of_quotes(text: str) -> list[tuple[int, int]]:
     return out
 
 
+NAME = re.compile(rf"[A-Z][A-Za-z]+( ?[{THAI}]{{1,3}}| ?[{BURMESE}]{{1,3}}| ?[{HAN}]{{1,2}})")
+
+
+def right_of(text: str, at: int) -> str:
+    """The right feature; a name in Latin letters counts by the other script's letters that follow it."""
+    name = NAME.match(text, at)
+    if name:
+        return "A" + name.group(1)
+    r = RIGHT.match(text, at)
+    return DIGITS.sub("0", r.group()) if r else text[at]
+
+
+STOPS = ".!?…。！？။؟।\"'”“’»)]）」』〉》】"
+
+
 def places(text: str) -> list[Place]:
     """The candidates of a text, in order."""
     out: list[Place] = []
@@ -105,7 +121,7 @@ def places(text: str) -> list[Place]:
         c = text[s]
         stop = text[e - 1]
         gap = "\n" if "\n" in m.group(1) else " " if m.group(1) else ""
-        if stop not in ".!?…。！？။؟।\"'”’»)]）」』〉》】" and gap != "\n" and not thai:
+        if stop not in STOPS and gap != "\n" and not thai:
             continue
         if gap != "\n" and (c.islower() or c in "(（[,;:、，；：၊-–—.…!?。！？။"):
             continue
@@ -122,11 +138,12 @@ def places(text: str) -> list[Place]:
             after = quotes[q][0]
         elif m.start(1) == m.start() and q and quotes[q - 1][1] == e - 1 and text[quotes[q - 1][0]] not in "(（":
             after = quotes[q - 1][0]
-        left = left_of(text[max(0, e - 32) : e])
-        r = RIGHT.match(text, s)
-        right = DIGITS.sub("0", r.group()) if r else c
+        kind, then = kind_of(text[max(0, e - 40) : e]), kind_of(text[s : s + 14])
+        if stop not in STOPS and gap != "\n" and "th" not in (kind, then):
+            continue
+        left, right = left_of(text[max(0, e - 32) : e]), right_of(text, s)
         last = e
-        out.append(Place(e, s, left, right, gap, inside, after, kind_of(text[max(0, e - 40) : e] + text[s : s + 12])))
+        out.append(Place(e, s, left, right, gap, inside, after, kind, then))
     return out
 
 
@@ -135,8 +152,7 @@ def ends(text: str) -> tuple[str, str] | None:
     t = text.strip()
     if not t:
         return None
-    r = RIGHT.match(t)
-    return left_of(t[-32:]), DIGITS.sub("0", r.group()) if r else t[0]
+    return left_of(t[-32:]), right_of(t, 0)
 
 
 def shape(left: str) -> str:
@@ -160,11 +176,14 @@ class Chain:
     def __init__(self, left: dict[str, float], right: dict[str, float], shapes: dict[str, float], gaps: dict[str, float]):
         self.left, self.right, self.shapes, self.gaps = left, right, shapes, gaps
 
-    def odds(self, p: Place) -> float:
+    def before(self, p: Place) -> float:
         a = self.left.get(p.left)
         if a is None:
             a = self.shapes.get(shape(p.left), 0.0)
-        return a + self.right.get(p.right, -1.0 if p.right[:1].isdigit() else 0.0) + self.gaps.get(p.gap, 0.0)
+        return a + self.gaps.get(p.gap, 0.0)
+
+    def after(self, p: Place) -> float:
+        return self.right.get(p.right, -1.0 if p.right[:1].isdigit() else 0.0)
 
     @classmethod
     def train(cls, cand: list[Place], e_left: Counter, e_right: Counter) -> Chain:
@@ -212,8 +231,8 @@ class Model:
         self.chains = chains
 
     def odds(self, p: Place) -> float:
-        c = self.chains.get(p.kind)
-        return c.odds(p) if c else 0.0
+        a, b = self.chains.get(p.kind), self.chains.get(p.then)
+        return (a.before(p) if a else 0.0) + (b.after(p) if b else 0.0)
 
     @classmethod
     def train(cls, texts: list[str]) -> Model:
@@ -225,9 +244,9 @@ class Model:
             if got:
                 t_ = t.strip()
                 lefts.setdefault(kind_of(t_[-40:]), Counter())[got[0]] += 1
-                rights.setdefault(kind_of(t_[:12]), Counter())[got[1]] += 1
+                rights.setdefault(kind_of(t_[:14]), Counter())[got[1]] += 1
             for p in places(t):
-                if not p.shut:
+                if not p.shut and p.kind == p.then:
                     cand.setdefault(p.kind, []).append(p)
         return cls({k: Chain.train(v, lefts.get(k, Counter()), rights.get(k, Counter())) for k, v in cand.items()})
 
@@ -245,7 +264,8 @@ def viterbi(text: str, model: Model) -> list[tuple[int, int]]:
     back: list[tuple[bool, bool]] = []
     for p in cand:
         s = model.odds(p)
-        framed = p.opens is not None and p.opens == at
+        # a quotation that opens the sentence is framed by what follows; an initial is no sentence
+        framed = p.opens is not None and p.opens == at or p.end - at <= 3 and p.kind == "la"
         b_from_b = -math.inf if framed else bound
         to_in, to_b = max(inside, bound), max(inside, b_from_b) + s
         back.append((bound > inside, b_from_b > inside))
