@@ -80,6 +80,8 @@ def tail_key(text: str) -> str:
     t = text.rstrip()
     if re.search(f"[{THAI}{BURMESE}{HAN}]", t[-6:]):
         x = re.sub(r"\d+", "0", re.sub(rf"[^\w{THAI}{BURMESE}]+$", "", t[-24:]))
+        if x.endswith("0"):
+            return x[-4:]
         return x[-3:] if re.search(f"[{HAN}]", x[-3:]) else x[-6:]
     m = re.search(r"[^\W_][\w'’.,-]*[^\w\s]*$|\S+$", t[-48:])
     return re.sub(r"\d", "0", re.sub(r"[^\w]+$", "", m.group()) if m else "")[-32:]
@@ -181,19 +183,23 @@ def hidden_limits(measured: DataFrame) -> DataFrame:
     return at.withColumn("n_near", F.sum("n").over(w)).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_near")) & (F.col("length") % 10 == 0))
 
 
-#: An end finishes texts if it has a closing mark in this share of the closed texts, or none in this share of the open ones.
-CLOSED_SHARE, OPEN_SHARE, CLOSED_LEAST, OPEN_LEAST = 1e-4, 8e-4, 2, 4
+#: An end finishes texts if it has a closing mark in this share of the closed texts of its writing, or none in this share of
+#: the open ones; texts without word spaces end in fewer ways. CLOSED_LEAST and OPEN_LEAST texts at least.
+CLOSED_SHARE, OPEN_SHARE, OPEN_SHARE_UNSPACED, CLOSED_LEAST, OPEN_LEAST = 1e-4, 1.5e-3, 5e-3, 2, 3
 
 
 def final_keys(measured: DataFrame) -> DataFrame:
     """(key, closed): ends that finish texts: some with a closing mark (closed), or many without."""
     keys = measured.where("verdict = 'ask' AND key IS NOT NULL AND key <> ''").groupBy("key").agg(F.count_if("stopped").alias("n_stopped"), F.count_if(~F.col("stopped")).alias("n_open"))
-    words = F.col("key").rlike(r"[^\d|., ]") & ~F.col("key").startswith("|")
-    every = keys.agg(F.sum("n_stopped").alias("_closed"), F.sum(F.when(words, F.col("n_open")).otherwise(0)).alias("_open"))
+    row = F.col("key").startswith("|")
+    kind = F.when(row | F.col("key").rlike(r"^[\d|., ]*$"), "row").when(F.col("key").rlike("[฀-๿]"), "th").when(F.col("key").rlike("[က-႟]"), "my").when(F.col("key").rlike("[぀-ヿ㐀-鿿]"), "han").otherwise("spaced")
+    keys = keys.withColumn("kind", kind)
+    every = keys.groupBy("kind").agg(F.sum("n_stopped").alias("_closed"), F.sum("n_open").alias("_open"))
+    share = F.when(F.col("kind") == "spaced", OPEN_SHARE).otherwise(OPEN_SHARE_UNSPACED)
     return (
-        keys.join(F.broadcast(every), how="cross")  # one row
+        keys.join(F.broadcast(every), "kind")  # five rows
         .withColumn("closed", (F.col("n_stopped") >= F.greatest(F.lit(CLOSED_LEAST), F.col("_closed") * CLOSED_SHARE)) | F.col("key").startswith("|"))
-        .where(F.col("closed") | (F.col("n_open") >= F.greatest(F.lit(OPEN_LEAST), F.col("_open") * OPEN_SHARE)) | F.col("key").startswith("|") | ~words)
+        .where(F.col("closed") | (F.col("n_open") >= F.greatest(F.lit(OPEN_LEAST), F.col("_open") * share)) | (F.col("kind") == "row"))
         .select("key", "closed")
     )
 
