@@ -40,7 +40,8 @@ def retry_after_ms(value: Column, now_ms: Column) -> Column:
     seconds = F.when(v.rlike(r"^\d+(\.\d+)?$"), (v.cast("double") * 1000).cast("bigint"))
     unit = lambda u, k: F.coalesce(F.regexp_extract(v, rf"(\d+(?:\.\d+)?){u}(?![a-z])", 1).try_cast("double"), F.lit(0.0)) * k
     compact = F.when(v.rlike(r"^(\d+(\.\d+)?(h|ms|m|s))+$"), (unit("h", 3_600_000) + unit("m", 60_000) + unit("s", 1000) + unit("ms", 1)).cast("bigint"))
-    date = F.greatest(F.lit(0), F.unix_millis(F.try_to_timestamp(F.regexp_replace(v, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))) - now_ms)
+    at = F.unix_millis(F.try_to_timestamp(F.regexp_replace(v, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")))
+    date = F.when(at.isNotNull(), F.greatest(F.lit(0), at - now_ms))
     return F.coalesce(seconds, compact, date)
 
 
