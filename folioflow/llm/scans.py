@@ -20,7 +20,7 @@ from folioflow.tables import settle
 #: What scans make of characters (right, wrong); words are compared in lower case.
 CONFUSIONS = [
     ("t", "†"), ("e", "c"), ("o", "0"), ("s", "5"), ("i", "!"), ("a", "@"), ("l", "1"), ("g", "9"), ("l", "i"), ("u", "ii"), ("d", "cl"), ("m", "rn"), ("h", "b"),
-    ("é", "6"), ("in", "m"), ("w", "vv"), ("b", "8"), ("b", "6"), ("rn", "m"), ("l", "!"), ("i", "1"), ("i", "l"), ("l", "|"), ("d", "ci"), ("d", "c1"), ("ß", "b"), ("ó", "6"), ("fi", "ﬁ"), ("fl", "ﬂ"),
+    ("é", "6"), ("in", "m"), ("w", "vv"), ("b", "8"), ("b", "6"), ("rn", "m"), ("l", "!"), ("i", "1"), ("i", "l"), ("l", "|"), ("d", "ci"), ("d", "c1"), ("ß", "b"), ("ó", "6"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ü", "ii"), ("u", "!i"), ("in", "rn"), ("ä", "a"), ("ö", "o"), ("ü", "u"), ("é", "e"),
     ("", "■"), ("", "□"), ("", "^"), ("", "~"), ("", "¦"), ("", "|"), ("", "†"), ("", "¬"), ("", "¤"), ("", "`"), ("", "*"), ("", "_"),
 ]
 #: Words after which a hyphen was suspended, not a word's own.
@@ -243,7 +243,7 @@ def repairs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 #: Marks inside words, digits between letters, and capital I among small letters.
-MARKED = r"[■□†¤¦]|\p{L}[\^~|@]\p{L}|(^|\s)[\^~|@]\p{L}|\p{L}[\^~|](\s|$|\p{Punct})|(^|[\s('’])\p{Ll}*[\p{L}][0159]\p{Ll}{2,}|(^|[\s('’])[0159]\p{Ll}{3,}|\p{Ll}!\p{Ll}|\p{Ll}I\p{Ll}"
+MARKED = r"[■□†¤¦]|\p{L}[\^~|@]\p{L}|(^|\s)[\^~|@]\p{L}|\p{L}[\^~|](\s|$|\p{Punct})|(^|[\s('’])\p{Ll}*[\p{L}][0159]\p{Ll}{2,}|(^|[\s('’])[0159]\p{Ll}{3,}|[.,;:!?][\^~|]|[\^~|][„“«¿¡]|\p{Ll}!\p{Ll}|\p{Ll}I\p{Ll}"
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
