@@ -55,21 +55,20 @@ def duplicate_units(u: DataFrame) -> DataFrame:
     return k.join(many, ["document_id", "key"], "left_semi")
 
 
-def glossary_findings(u: DataFrame, rules: DataFrame, most: int = 50_000) -> DataFrame:
+def glossary_findings(u: DataFrame, rules: DataFrame) -> DataFrame:
     """(block_id, term, detail): glossary rules broken by finished units of the same project.
 
-    rules: project_id, source_term, preferred, forbidden. Each project's rules
-    are one array joined by project_id; a project has at most ``most`` rules.
+    rules: project_id, source_term, preferred, forbidden; repeated rules count
+    once. A join on project_id; a project with many units is split at runtime.
     """
     n = lambda c: T.normalize_for_match(F.coalesce(c, F.lit("")))
-    r = rules.where("source_term IS NOT NULL").select("project_id", F.struct("source_term", "preferred", "forbidden", n(F.col("source_term")).alias("t"), n(F.col("preferred")).alias("p"), n(F.col("forbidden")).alias("f")).alias("r"))
-    r = r.groupBy("project_id").agg(F.slice(F.sort_array(F.collect_set("r")), 1, most).alias("rules"))
+    r = rules.where("source_term IS NOT NULL").select("project_id", "source_term", "preferred", "forbidden", n(F.col("source_term")).alias("t"), n(F.col("preferred")).alias("p"), n(F.col("forbidden")).alias("f")).distinct()
     d = u.where(is_done() & F.col("translated_text").isNotNull()).select("block_id", "project_id", n(F.col("source_text")).alias("s"), n(F.col("translated_text")).alias("a"))
-    x = d.join(r, "project_id").select("block_id", "s", "a", F.explode("rules").alias("r"))
+    x = d.join(r, "project_id")
     has = lambda hay, needle: (needle != "") & hay.contains(needle)
-    s, a, t, p, f = F.col("s"), F.col("a"), F.col("r.t"), F.col("r.p"), F.col("r.f")
-    detail = F.when(has(a, f), F.concat(F.lit("forbidden: "), F.col("r.forbidden"))).when(has(s, t) & ~has(a, p) & ~has(a, t), F.concat(F.lit("missing: "), F.col("r.preferred")))
-    return x.select("block_id", F.col("r.source_term").alias("term"), detail.alias("detail")).where("detail IS NOT NULL")
+    s, a, t, p, f = (F.col(k) for k in "satpf")
+    detail = F.when(has(a, f), F.concat(F.lit("forbidden: "), F.col("forbidden"))).when(has(s, t) & ~has(a, p) & ~has(a, t), F.concat(F.lit("missing: "), F.col("preferred")))
+    return x.select("block_id", F.col("source_term").alias("term"), detail.alias("detail")).where("detail IS NOT NULL")
 
 
 def features(texts: DataFrame, name: str) -> DataFrame:

@@ -43,25 +43,27 @@ SCHEMA = "key_id string, failures int, hits int, cooldown_until bigint, health s
 
 
 def key_health_batch(events: DataFrame) -> DataFrame:
-    """(key_id, failures, hits, cooldown_until, health): the fold over each key's (at_ms, id, outcome) in order."""
-    from folioflow.arrow import map_rows
-
-    keys = events.where("key_id IS NOT NULL").groupBy("key_id").agg(F.sort_array(F.collect_list(F.struct("at_ms", "id", "outcome"))).alias("es"))
-
-    def make():
-        def kernel(ids, lists):
-            out = [[] for _ in range(5)]
-            for k, es in zip(ids, lists):
-                s = START
-                for e in es:
-                    s = advance(s, e["at_ms"], e["outcome"])
-                for col, v in zip(out, (k, s["failures"], s["hits"], s["cooldown_until"], s["health"])):
-                    col.append(v)
-            return out
-
-        return kernel
-
-    return map_rows(keys, SCHEMA, make)
+    """(key_id, failures, hits, cooldown_until, health): the fold of advance() over each key's (at_ms, id, outcome), in closed form.
+
+    Only what follows the last success counts; of that, numbers and last
+    events, so aggregations suffice and no key's events are gathered.
+    """
+    order = F.struct("at_ms", "id")
+    e = events.where("key_id IS NOT NULL").select("key_id", "at_ms", "id", "outcome", order.alias("o"))
+    last_ok = e.groupBy("key_id").agg(F.max(F.when(F.col("outcome") == "ok", F.col("o"))).alias("ok"))
+    bad = e.join(last_ok, "key_id").where("outcome <> 'ok' AND (ok IS NULL OR o > ok)")
+    hit = F.col("outcome").isin("rate_limit", "quota")
+    one = bad.groupBy("key_id").agg(
+        F.count("*").cast("int").alias("failures"), F.count_if(hit).cast("int").alias("hits"), F.max_by("outcome", "o").alias("last"), F.bool_or(F.col("outcome") == "auth").alias("any_auth"),
+        F.max(F.when(F.col("outcome") != "auth", F.struct("at_ms", "id", "outcome"))).alias("cool"),
+    )
+    upto = F.col("o") <= F.struct(F.col("cool.at_ms"), F.col("cool.id"))
+    two = bad.join(one.select("key_id", "cool"), "key_id").groupBy("key_id").agg(F.count_if(upto).alias("f"), F.count_if(upto & hit).alias("h"))
+    grown = lambda base, n, most: F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), F.least(F.lit(10), n - 1)))
+    wait = F.when(F.col("cool.outcome") == "rate_limit", grown(RATE_COOLDOWN, F.col("h"), SERVER_MOST)).when(F.col("cool.outcome") == "quota", grown(QUOTA_COOLDOWN, F.col("h"), QUOTA_MOST)).when(F.col("cool.outcome") == "server", grown(SERVER_COOLDOWN, F.col("f"), SERVER_MOST))
+    health = F.when(F.col("last") == "auth", "invalid").when(F.col("failures") >= DEGRADED_AT, "degraded").when(F.col("any_auth"), "invalid").otherwise("healthy")
+    j = last_ok.select("key_id").join(one, "key_id", "left").join(two, "key_id", "left")
+    return j.select("key_id", F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce((F.col("cool.at_ms") + wait).cast("bigint"), F.lit(0)).alias("cooldown_until"), health.alias("health"))
 
 
 def key_health_stream(events: DataFrame) -> DataFrame:
