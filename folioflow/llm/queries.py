@@ -95,8 +95,9 @@ def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    last = _newest_blocks(spark, d, "document_id", "source_text", "unit_status")
-    return pairs.pair_defects(settle(pairs.examine(last, table(spark, d, "export_document"))))
+    last = _newest_blocks(spark, d, "source_text", "unit_status")
+    target = pairs.targets(table(spark, d, "export_block"), table(spark, d, "export_document"))
+    return pairs.pair_defects(settle(pairs.examine(last, target)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
