@@ -21,7 +21,7 @@ def newest(df: DataFrame, key: str, *order: str) -> DataFrame:
     plain = [c for c, t in df.dtypes if "map" not in t]
     by = [F.col(c).desc_nulls_last() for c in order] + [F.xxhash64(*plain).desc()]
     w = Window.partitionBy(key).orderBy(*by)
-    return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.where(F.col(key).isNotNull()).withColumn("__row_of_key", F.row_number().over(w)).where("__row_of_key = 1").drop("__row_of_key")
 
 
 def present(c: Column | str) -> Column:
