@@ -34,9 +34,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     every = table(spark, d, "export_block")
     model = sentences.train(every)
-    scanned = table(spark, d, "grouped_line").select("document_id").distinct()
-    blocks = every.select("block_id", "document_id", "kind", "source_text", "translated_text", "updated_at", "ingested_at").join(scanned, "document_id", "left_anti")
-    last = newest(blocks, "block_id", "updated_at", "ingested_at").where("kind IN ('paragraph', 'quote')")
+    # scanned blocks are told by their ids, so that texts move once, to find the newest rows
+    scanned = every.select("block_id", "document_id").join(table(spark, d, "grouped_line").select("document_id").distinct(), "document_id", "left_semi").select("block_id").distinct()
+    blocks = every.select("block_id", "kind", "source_text", "translated_text", "updated_at", "ingested_at")
+    last = newest(blocks, "block_id", "updated_at", "ingested_at").where("kind IN ('paragraph', 'quote')").join(scanned, "block_id", "left_anti")
     return sentences.split_sentences(last, model)
 
 
