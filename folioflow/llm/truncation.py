@@ -114,8 +114,10 @@ def assess(text: str, structured: bool) -> tuple[str, str, bool]:
         return ("ask" if re.search(r"\s…$|[.!?]…$", t) else "cut"), tail_key(t[:-1]), False
     if t.endswith("..."):
         return "cut", "", False
+    if CODE_LINE.search(last.rsplit("\n", 1)[-1]):
+        return "whole", "", bool(STOP.search(t))  # program text may end anyhow
     key = line_key(last) or tail_key(last)
-    if not CODE_LINE.search(last.rsplit("\n", 1)[-1]) and open_marks(last):
+    if open_marks(last):
         return "cut", key, False
     return "ask", key, bool(STOP.search(t))
 
