@@ -122,7 +122,14 @@ def json_round_trip(spark, d):
     return back.select("document_id", "page_index", "order_index", "heading", "list_ordered", F.md5("text").alias("text_hash"))
 
 
-@query()
+@query(
+    f"""WITH {_BLOCKS}, dd AS (SELECT document_id, max(title) AS title FROM export_document GROUP BY 1), raw AS (SELECT document_id, {trim_sql('translated_text')} AS tr FROM u WHERE NOT coalesce(list_has_any(flags, ['page_number', 'header_footer']), false)),
+    p AS (SELECT document_id, count(*) FILTER (coalesce({trim_sql('t')}, '') = '') AS missing FROM b GROUP BY 1), x AS (SELECT document_id, count(*) FILTER (coalesce(tr, '') = '') AS untranslated FROM raw GROUP BY 1)
+    SELECT dd.document_id, 'no_pages' AS code, 'error' AS severity, 1::BIGINT AS n FROM dd ANTI JOIN p ON p.document_id = dd.document_id
+    UNION ALL SELECT document_id, 'title_missing', 'warning', 1 FROM dd WHERE coalesce({trim_sql('title')}, '') = ''
+    UNION ALL SELECT dd.document_id, 'missing_text', 'error', missing FROM dd JOIN p ON p.document_id = dd.document_id WHERE missing > 0
+    UNION ALL SELECT dd.document_id, 'untranslated', 'warning', untranslated FROM dd JOIN x ON x.document_id = dd.document_id WHERE untranslated > 0"""
+)
 def export_findings(spark, d):
     return export.findings(table(spark, d, "export_document"), _export_blocks(spark, d))
 
