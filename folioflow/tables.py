@@ -35,21 +35,34 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def _shared(spark: SparkSession) -> str | None:
+    """The cluster's shared checkpoint folder, from the session; None where it is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the workers this package, once a context, so that they needn't have it installed.
 
-    The archive is made on the driver and handed to Spark, which serves it to
-    the executors; nothing else reads it.
+    The archive is written to the shared checkpoint folder where that is a
+    path of the file system, else to a folder of the driver, and handed to
+    Spark, which serves it to the executors.
     """
     import tempfile
     import zipfile
     from pathlib import Path
+    from urllib.parse import urlparse
 
     sc = spark.sparkContext
     if getattr(sc, "_folioflow", False):
         return
     here = Path(__file__).resolve().parent
-    to = Path(tempfile.mkdtemp(prefix="folioflow-")) / "folioflow.zip"
+    shared = urlparse(_shared(spark) or "")
+    if shared.path and shared.scheme in ("", "file"):
+        Path(shared.path).mkdir(parents=True, exist_ok=True)
+        base = tempfile.mkdtemp(prefix="folioflow-", dir=shared.path)
+    else:
+        base = tempfile.mkdtemp(prefix="folioflow-")
+    to = Path(base) / "folioflow.zip"
     with zipfile.ZipFile(to, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
@@ -68,5 +81,5 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-"))
+        sc.setCheckpointDir(_shared(spark) or tempfile.mkdtemp(prefix="folioflow-"))
     return df.checkpoint()
