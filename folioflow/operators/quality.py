@@ -71,7 +71,7 @@ def glossary_findings(u: DataFrame, rules: DataFrame) -> DataFrame:
     return x.select("block_id", F.col("source_term").alias("term"), detail.alias("detail")).where("detail IS NOT NULL")
 
 
-def features(texts: DataFrame, name: str) -> DataFrame:
+def features(texts: DataFrame, name: str, bigrams: bool = True) -> DataFrame:
     """(_id, project_id, target, name: struct(same, words, pairs)): multisets of words and bigrams as sets of numbered hashes.
 
     With each occurrence numbered, set intersection is multiset intersection.
@@ -91,7 +91,7 @@ def features(texts: DataFrame, name: str) -> DataFrame:
             return out
 
         def kernel(ids, projects, targets, texts):
-            made = [{"same": xxhash.xxh64_intdigest(t) - (1 << 63), "words": numbered(t.split()), "pairs": numbered([t[i : i + 2] for i in range(max(1, len(t) - 1))])} for t in texts]
+            made = [{"same": xxhash.xxh64_intdigest(t) - (1 << 63), "words": numbered(t.split()), "pairs": numbered([t[i : i + 2] for i in range(max(1, len(t) - 1))]) if bigrams else []} for t in texts]
             return [ids, projects, targets, made]
 
         return kernel
@@ -120,7 +120,10 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
 
     q, m = side(queries, "query_id"), side(memory, "match_id")
 
-    qa, mb = features(q.withColumnRenamed("query_id", "_id"), "a").withColumnRenamed("_id", "query_id"), features(m.withColumnRenamed("match_id", "_id"), "b").withColumnRenamed("_id", "match_id")
+    def made(df: DataFrame, key: str, name: str, bigrams: bool) -> DataFrame:
+        return features(df.withColumnRenamed(key, "_id"), name, bigrams).withColumnRenamed("_id", key)
+
+    qa, mb = made(q, "query_id", "a", False), made(m, "match_id", "b", False)
     gq = qa.select("query_id", "project_id", "target", F.size("a.words").alias("n"), F.explode("a.words").alias("g"))
     gm = mb.select("match_id", "project_id", "target", F.size("b.words").alias("n"), F.explode("b.words").alias("g"))
     rarity = gm.groupBy("g").agg(F.count("*").alias("f"))
@@ -132,6 +135,9 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
 
     a, b = prefix(gq, "query_id"), prefix(gm, "match_id").withColumnRenamed("n", "n2")
     pairs = a.join(b, ["project_id", "target", "g"]).where((F.lit(2.0) * F.least("n", "n2") / (F.col("n") + F.col("n2")) >= d) & (F.col("query_id") != F.col("match_id"))).select("query_id", "match_id", "project_id", "target").distinct()
+    # bigrams are worked out for texts that have a candidate only
+    qa = made(q.join(pairs.select("query_id").distinct(), "query_id", "left_semi"), "query_id", "a", True)
+    mb = made(m.join(pairs.select("match_id").distinct(), "match_id", "left_semi"), "match_id", "b", True)
     common = lambda k: F.lit(2.0) * F.size(F.array_intersect(f"a.{k}", f"b.{k}")) / (F.size(f"a.{k}") + F.size(f"b.{k}"))
     score = F.when(F.col("a.same") == F.col("b.same"), F.lit(1.0)).otherwise(F.lit(0.5) * common("words") + F.lit(0.5) * common("pairs"))
     scored = pairs.join(qa, ["query_id", "project_id", "target"]).join(mb, ["match_id", "project_id", "target"]).select("query_id", "match_id", score.alias("score")).where(F.col("score") >= least)
