@@ -23,6 +23,9 @@ WORD = re.compile(r"[぀-ヿ㐀-鿿฀-๿က-႟]|[^\W_぀-ヿ㐀-鿿฀-๿က
 #: Invisible characters, dropped before words are cut.
 INVISIBLE = re.compile("[­​-‏⁠️﻿]")
 
+#: Documents of a shard at most.
+SHARD = 4000
+
 #: Test items handled at a time; the rest follow in further passes over the corpus.
 BLOCK = 20_000
 
@@ -210,7 +213,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, seed: int
 
             return kernel
 
-        return map_rows(docs.select("doc_id", "text"), "doc_id bigint, item_id bigint, share double, longest int, stretches int", make)
+        return map_rows(docs.select("doc_id", "text"), "doc_id bigint, item_id bigint, share double, longest int, stretches int", make, rows=SHARD)
 
     for row in query.toLocalIterator():
         block.append((row.item_id, row.text))
