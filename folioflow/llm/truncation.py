@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -125,8 +126,9 @@ def assess(text: str, structured: bool) -> tuple[str, str, bool]:
 #: A line of program text: brackets in it may stay open.
 CODE_LINE = re.compile(r"[{};]$|=>|\(\)|^\s*(?:const|let|for|if|SELECT|export|cache)\b|queue\.push|--\w+")
 
-#: A limit counts from so many unfinished texts of one source at one length, if they are that share of the source's texts within NEAR of it.
-LIMIT_TEXTS, LIMIT_SHARE, NEAR = 3, 0.5, 4
+#: A limit is a length, round or not, at which a source has so many unfinished texts, that share of its texts within NEAR of it, and more
+#: than the rate of those explains: a Poisson count of that rate is as high with a probability of at most CHANCE.
+LIMIT_TEXTS, LIMIT_SHARE, NEAR, CHANCE = 3, 0.5, 4, 1e-5
 
 
 def records(results: DataFrame, blocks: DataFrame, calls: DataFrame) -> DataFrame:
@@ -170,7 +172,12 @@ def measure(texts: DataFrame) -> DataFrame:
 
 
 def hidden_limits(measured: DataFrame) -> DataFrame:
-    """(record_kind, source, unit, length, n, n_near): lengths at which unfinished texts of a source pile up."""
+    """(record_kind, source, unit, length, n, n_near): lengths at which unfinished texts of a source pile up.
+
+    n_near counts the texts within NEAR, n among them. The rate is that of the
+    other lengths there, with one text more, so that an empty neighbourhood
+    has a rate too; the probability is Chernoff's bound, never too small.
+    """
     source = F.coalesce("provider", "project_id", F.lit(""))
     at = (
         measured.where("NOT stopped AND counts IS NOT NULL AND verdict <> 'whole'")
@@ -182,7 +189,9 @@ def hidden_limits(measured: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("record_kind", "source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
-    return at.withColumn("n_near", F.sum("n").over(w)).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_near")) & (F.col("length") % 10 == 0))
+    rate = (F.col("n_near") - F.col("n") + 1) / (2 * NEAR)
+    excess = F.col("n") * F.log(F.col("n") / rate) - F.col("n") + rate
+    return at.withColumn("n_near", F.sum("n").over(w)).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_near")) & (F.col("n") > rate) & (excess >= -math.log(CHANCE)))
 
 
 #: An end finishes texts if it has a closing mark in this share of the closed texts of its writing, or none in this share of

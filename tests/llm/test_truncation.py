@@ -37,3 +37,13 @@ def test_hidden_limit(spark):
     df = spark.createDataFrame(rows, "record_kind string, record_id string, provider string, project_id string, structured boolean, text string")
     limits = {(r.unit, r.length) for r in t.hidden_limits(t.measure(df)).collect()}
     assert ("chars", 120) in limits
+
+
+def _limits(spark, lengths):
+    rows = [("block", f"x{i}", "p", "q", False, ("The editor reads every page " * 99)[: n - 3] + "pla") for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "record_kind string, record_id string, provider string, project_id string, structured boolean, text string")
+    return {r.length for r in t.hidden_limits(t.measure(df)).where("unit = 'chars'").collect()}
+
+
+def test_limit_at_any_length(spark):
+    assert _limits(spark, [255] * 8 + [1024] * 12 + [*range(1014, 1024)] + [300, 300, 300, 301, 301, 302, 303]) == {255, 1024}
