@@ -126,9 +126,9 @@ def assess(text: str, structured: bool) -> tuple[str, str, bool]:
 #: A line of program text: brackets in it may stay open.
 CODE_LINE = re.compile(r"[{};]$|=>|\(\)|^\s*(?:const|let|for|if|SELECT|export|cache)\b|queue\.push|--\w+")
 
-#: A limit is a length, round or not, at which a source has so many unfinished texts, that share of its texts within NEAR of it, and more
-#: than the rate of those explains: a Poisson count of that rate is as high with a probability of at most CHANCE.
-LIMIT_TEXTS, LIMIT_SHARE, NEAR, CHANCE = 3, 0.5, 4, 1e-5
+#: A limit is a length, round or not, at which a source has so many unfinished texts, and more than the rate of the lengths within NEAR
+#: of it explains: a Poisson count of that rate is as high with a probability of at most CHANCE.
+LIMIT_TEXTS, NEAR, CHANCE = 3, 10, 1e-5
 
 
 def records(results: DataFrame, blocks: DataFrame, calls: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def hidden_limits(measured: DataFrame) -> DataFrame:
     w = Window.partitionBy("record_kind", "source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     rate = (F.col("n_near") - F.col("n") + 1) / (2 * NEAR)
     excess = F.col("n") * F.log(F.col("n") / rate) - F.col("n") + rate
-    return at.withColumn("n_near", F.sum("n").over(w)).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_near")) & (F.col("n") > rate) & (excess >= -math.log(CHANCE)))
+    return at.withColumn("n_near", F.sum("n").over(w)).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") > rate) & (excess >= -math.log(CHANCE)))
 
 
 #: An end finishes texts if it has a closing mark in this share of the closed texts of its writing, or none in this share of

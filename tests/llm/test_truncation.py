@@ -47,3 +47,9 @@ def _limits(spark, lengths):
 
 def test_limit_at_any_length(spark):
     assert _limits(spark, [255] * 8 + [1024] * 12 + [*range(1014, 1024)] + [300, 300, 300, 301, 301, 302, 303]) == {255, 1024}
+
+
+def test_limit_among_many_texts(spark):
+    around = [n for n in range(105, 136) for _ in range(4)]
+    assert _limits(spark, around + [120] * 20) == {120}
+    assert _limits(spark, around * 3) == set()
