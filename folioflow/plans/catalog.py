@@ -316,6 +316,15 @@ def memory_autofill(spark, d):
     return quality.similar_units(q, m, 0.9, 1)
 
 
+@query()
+def memory_suggest(spark, d):
+    u = _units(spark, d, "source_text", "translated_text", "unit_status")
+    t = table(spark, d, "export_document").groupBy("document_id").agg(F.max("target_language").alias("target"))
+    m = u.where(U.is_done() & (T.trim(F.col("translated_text")) != "")).join(t, "document_id").select(F.col("block_id").alias("id"), "project_id", "target", F.col("source_text").alias("text"))
+    ship(spark)
+    return quality.suggestions(m.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0), m)  # the stated query set, against all units
+
+
 # --- usage and pools ------------------------------------------------------------------------------------------------
 _EV = "e AS (SELECT DISTINCT result_id AS id, provider_id AS provider, model, key_id, finish_reason, input_tokens, output_tokens, cached_tokens, received_at AS tm FROM generate_result)"
 

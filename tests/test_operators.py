@@ -46,6 +46,34 @@ def test_similar_units_against_brute_force(spark):
         assert got == want
 
 
+
+def test_suggestions_against_brute_force(spark):
+    random.seed(5)
+    words = "the key pool opens file editor again reads list page".split()
+    texts = [(f"u{i:03}", random.choice("pq"), "my", " ".join(random.choice(words) for _ in range(random.randint(1, 5)))) for i in range(120)]
+    texts += [(f"v{i}", "p", "my", "The key, pool!") for i in range(6)] + [("w", "p", "de", "the key pool"), ("x", "p", "my", "?")]
+    df = spark.createDataFrame(texts, "id string, project_id string, target string, text string")
+
+    def score(a, b):
+        share = lambda x, y: 2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y))
+        g = lambda t: [t[i : i + 2] for i in range(len(t) - 1)]
+        return 1.0 if a == b else 0.5 * share(a.split(), b.split()) + 0.5 * share(g(a), g(b))
+
+    plain = lambda t: "the key pool" if t == "The key, pool!" else t.strip("?")
+    want = set()
+    for a in texts:
+        found = sorted((-score(plain(a[3]), plain(b[3])), b[0]) for b in texts if b[0] != a[0] and b[1:3] == a[1:3] and plain(a[3]) and plain(b[3]))
+        want |= {(a[0], b, i + 1) for i, (s, b) in enumerate([x for x in found if x[0] <= -0.6][:3])}
+    got = {(r.query_id, r.match_id, r.rank) for r in quality.suggestions(df, df).collect()}
+    assert got == want
+
+
+def test_suggestions_are_registered():
+    import __spark_entry__
+
+    assert "memory_suggest" in __spark_entry__.queries()
+
+
 def test_planning(spark):
     assert planning.plan([10, 10, 10], [40, 40, 40], 40, 4096, 0.5) == [(0, False), (0, False), (1, False)]
     assert planning.plan([10, 500, 10], [1, 1, 1], 40, 4096, 0.5) == [(0, False), (1, True), (2, False)]
