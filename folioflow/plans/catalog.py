@@ -113,6 +113,12 @@ def number_tokens(spark, d):
     return _docs(spark, d).where(F.col("text").rlike(r"\d") & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.size(x).cast("bigint").alias("n"), F.array_join(x, ";").alias("numbers"))
 
 
+@query(rf"SELECT doc_id, CAST(len({_NUM}) AS BIGINT) AS n, array_to_string({_NUM}, ';') AS numbers FROM documents WHERE regexp_matches(text, '\d')")
+def number_tokens_all(spark, d):
+    x = T.extract(F.col("text"), T.NUMBER)  # boundaries are those of ASCII in all scripts
+    return _docs(spark, d).where(F.col("text").rlike(r"\d")).select("doc_id", F.size(x).cast("bigint").alias("n"), F.array_join(x, ";").alias("numbers"))
+
+
 @query(
     rf"""SELECT doc_id, CAST(len(list_filter(l, lambda x: regexp_matches({trim_sql('x')}, '^#{{1,6}}\s'))) AS BIGINT) AS headings,
      CAST(len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:[-*+]|\d+\.)\s'))) AS BIGINT) AS lists,
@@ -283,6 +289,15 @@ def empty_warning_counts(spark, d):
     return quality.warnings(u).where("code IN ('missing_text', 'unexpected_empty')").groupBy("code").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {NEWEST}, k AS (SELECT source_text AS s, translated_text AS t FROM u WHERE unit_status IN ('translated', 'reviewed')),
+    c AS (SELECT CASE WHEN t IS NULL THEN 'missing_text' WHEN {trim_sql('s')} <> '' AND {trim_sql('t')} = '' THEN 'unexpected_empty' END AS code FROM k)
+    SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY code"""
+)
+def empty_warning_counts_all(spark, d):
+    return quality.warnings(_with_differ(spark, d)).where("code IN ('missing_text', 'unexpected_empty')").groupBy("code").agg(F.count("*").alias("n"))
+
+
 @query()
 def warning_counts(spark, d):
     return quality.warnings(_with_differ(spark, d)).groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("block_id").alias("units"))
