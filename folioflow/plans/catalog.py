@@ -203,6 +203,11 @@ def sample_prefix(spark, d):
     return U.sample_prefix(_units(spark, d, "order_index", "source_text"), 2000).select("block_id", "chars_before")
 
 
+@query(f"WITH {NEWEST} SELECT block_id, chars_before FROM (SELECT block_id, CAST(coalesce(sum(length(source_text)) OVER (PARTITION BY document_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM u) WHERE chars_before < 50000")
+def sample_prefix_50k(spark, d):
+    return U.sample_prefix(_units(spark, d, "order_index", "source_text")).select("block_id", "chars_before")
+
+
 @query(
     """WITH w AS (SELECT document_id, unnest(range(n)) AS p FROM (SELECT document_id, max(page_count) AS n FROM export_document GROUP BY 1) WHERE n > 0)
     SELECT DISTINCT w.document_id, CAST(w.p AS INT) AS page_index FROM w LEFT JOIN (SELECT DISTINCT document_id, page_index FROM export_block) b ON b.document_id = w.document_id AND b.page_index = w.p WHERE b.document_id IS NULL"""
