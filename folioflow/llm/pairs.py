@@ -51,6 +51,8 @@ QUOTED = re.compile(r"“[^”]*(?:”|$)|„[^“]*(?:“|$)|«[^»]*(?:»|$)|
 
 #: Shortest copied run, least share of the answer that must be copied, and fewest letters of prose.
 RUN, COPIED, PROSE = 12, 0.6, 12
+#: Where the head of an answer ends, in characters.
+HEAD = 110
 
 
 def refusal_automaton() -> ahocorasick.Automaton:
@@ -62,10 +64,19 @@ def refusal_automaton() -> ahocorasick.Automaton:
     return a
 
 
-def refuses(text: str, automaton: ahocorasick.Automaton) -> bool:
-    """True if the answer's own words, near its head, decline the request; quoted speech doesn't count."""
-    own = QUOTED.sub(" ", text[:400].replace("’", "'")).lower().strip()
-    return any(end < 110 for end, _ in automaton.iter(own[:140]))
+def own_words(text: str) -> str:
+    """The text in lower case without quoted speech."""
+    return QUOTED.sub(" ", text.replace("’", "'")).lower().strip()
+
+
+def refuses(text: str, automaton: ahocorasick.Automaton, source: str = "") -> bool:
+    """True if the answer's own words decline the request; quoted speech doesn't count.
+
+    At its head (HEAD) any phrase tells; further on, after a preamble, one does
+    unless the source has such a phrase too, which the answer may only translate.
+    """
+    found = [end for end, _ in automaton.iter(own_words(text))]
+    return bool(found) and (min(found) < HEAD or not any(automaton.iter(source.replace("’", "'").lower())))
 
 
 class SuffixAutomaton:
@@ -127,11 +138,8 @@ def copied_share(prompt: str, answer: str) -> float:
     if p == a:
         return 1.0
     half = max(2, run // 2)
-    # a common run of this length holds a whole block of half its length
-    if not any(p[i : i + half] in a for i in range(0, len(p), half)):
-        return 0.0
-    # coverage by blocks is at most that by runs plus their ends, so clear cases need no automaton
-    if sum(p[i : i + half] in a for i in range(0, len(p), half)) * half * 4 < len(a) * COPIED:
+    # a run of L covered characters holds at least L / 3 in whole blocks of the answer, so clear cases need no automaton
+    if sum(a[i : i + half] in p for i in range(0, len(a), half)) * half * 3 < len(a) * COPIED:
         return 0.0
     return SuffixAutomaton(p).covered(a, run)
 
@@ -184,7 +192,7 @@ def judge(source: str, answer: str | None, target: str | None, automaton) -> str
         # a number stands for a number, but not for prose
         bare = answer is not None and re.search(r"\d", answer)
         return "empty" if (is_prose(Profile(source)) if bare else re.search(r"\w", source)) else ""
-    if refuses(answer, automaton):
+    if refuses(answer, automaton, source):
         return "refusal"
     a = Profile(answer)
     if not is_prose(a):

@@ -18,6 +18,27 @@ def test_defects():
     assert P.judge("export --format docx", "export --format docx", "fr", A) == "" and P.judge("Lumora Flow 5.8", "Lumora Flow 5.8", "fr", A) == ""
 
 
+def test_refusals_after_a_preamble_or_a_long_quotation():
+    sorry = "I’m sorry, but I can’t translate this passage."
+    assert P.judge(SRC, "Thank you for the text. " * 9 + sorry, "fr", A) == "refusal"
+    assert P.judge(SRC, f"“{SRC * 8}” {sorry}", "fr", A) == "refusal"
+    # further on, what the source declines may be its translation
+    assert P.judge("The page is long. " * 9 + sorry, "La page est longue. " * 9 + "Je ne peux pas traduire ce passage.", "fr", A) == ""
+
+
+def test_an_answer_that_repeats_the_prompt():
+    assert P.copied_share(SRC, " ".join([SRC] * 12)) > 0.9
+    assert P.judge(SRC, " ".join([SRC] * 12), "fr", A) == "copied"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdefgh ", min_size=1, max_size=60), st.text("abcdefgh ", max_size=60), st.integers(1, 9))
+def test_no_copy_is_ruled_out_without_the_automaton(prompt, other, times):
+    p, a = " ".join(prompt.split()), " ".join((prompt * times + other).split())
+    share = P.SuffixAutomaton(p).covered(a, P.RUN)
+    assert share < P.COPIED or P.copied_share(prompt, a) >= P.COPIED
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=40), st.text("abc", max_size=40), st.integers(1, 6))
 def test_automaton_against_brute_force(prompt, answer, run):
