@@ -1,4 +1,4 @@
-from folioflow.llm.sentences import Model, split_sentences, viterbi
+from folioflow.llm.sentences import Model, left_of, split_sentences, viterbi
 
 NAMES = ["Velmar", "Okrande", "Tiskova"]
 VERBS = ["reads the page", "keeps the list", "opens the file again", "counts the words"]
@@ -31,6 +31,13 @@ def test_scripts_without_spaces_or_stops():
     assert len(viterbi("甲读取文件。乙保存列表。", m)) == 2
 
 
+def test_thai_is_seen_without_stops():
+    assert [left_of(f"ระบบส่งออกซ่อนเลขหน้า{x}") for x in (".", "!", "...")] == [left_of("ระบบส่งออกซ่อนเลขหน้า")] * 3
+    m = Model.train([t.replace(" ", ". ") + "." for t in THAI] * 4)
+    assert all(not k.endswith(".") for k in m.chains["th"].left)
+    assert len(viterbi(THAI[0], m)) == len(viterbi(THAI[0].replace(" ", ". "), m)) == 2
+
+
 def test_edges():
     assert viterbi("", MODEL) == [] and viterbi(" \n\t", MODEL) == []
     assert viterbi("  unfinished text", MODEL) == [(2, 17)]
