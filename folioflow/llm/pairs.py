@@ -231,10 +231,10 @@ def examine(blocks: DataFrame, target: DataFrame) -> DataFrame:
         automaton = refusal_automaton()
 
         def kernel(block, project, source, answer, status, target):
-            out = [[] for _ in range(9)]
+            out = [[] for _ in range(10)]
             for b, p, s, a, st, t in zip(block, project, source, answer, status, target):
                 defect = judge(s or "", a, t, automaton) if st in ("translated", "reviewed") else None
-                m = truncation.measure_text(a, False) if a is not None else ("whole", None, True, None)
+                m = truncation.measure_text(a, False) if a is not None else ("whole", None, True, None, 0)
                 for col, v in zip(out, ("export_block", b, None, p, *m, defect)):
                     col.append(v)
             return out

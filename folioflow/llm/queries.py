@@ -16,8 +16,8 @@ TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
 def _items(spark, d) -> DataFrame:
-    blocks = table(spark, d, "export_block").select(F.lit("export_block").alias("item_kind"), "document_id", F.col("order_index").cast("int").alias("item_no"), F.col("source_text").alias("text"))
-    parts = table(spark, d, "structured_block").select(F.lit("structured_block").alias("item_kind"), "document_id", F.col("pos").cast("int").alias("item_no"), "text")
+    blocks = table(spark, d, "export_block").select(F.lit("export_block").alias("item_kind"), "document_id", F.col("order_index").cast("int").alias("item_no"), F.col("source_text").alias("text"), "updated_at", "ingested_at")
+    parts = table(spark, d, "structured_block").select(F.lit("structured_block").alias("item_kind"), "document_id", F.col("pos").cast("int").alias("item_no"), "text", *[F.lit(None).cast("timestamp").alias(c) for c in ("updated_at", "ingested_at")])
     return blocks.unionByName(parts)
 
 

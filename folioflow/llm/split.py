@@ -100,19 +100,24 @@ def _place(text: str, limit: int, overlap: int, k: int, strict: bool) -> list[tu
 def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of the items longer than their kind's limit.
 
-    items: item_kind, document_id, item_no, text; limits: item_kind,
-    max_chars, overlap_chars. Other columns are ignored. Result: one row per
+    items: item_kind, document_id, item_no, text, and optionally updated_at
+    and ingested_at; limits: item_kind, max_chars, overlap_chars. Other columns
+    are ignored. Of an item's versions that are too long the newest is cut
+    (ties to the greater text), so an item is a case if any version is. Result: one row per
     piece with piece_no (from 0), n_pieces, start_pos, end_pos and the piece's
     text. Null and empty texts and kinds without a limit give no row; repeated
     items come once; an overlap of the limit or more counts as limit - 1.
     The length filter runs before the texts move or reach Python.
     """
     few = limits.where("item_kind IS NOT NULL AND max_chars > 0").groupBy("item_kind").agg(F.min("max_chars").alias("_max"), F.max(F.coalesce("overlap_chars", F.lit(0))).alias("_overlap"))
+    age = [c for c in ("updated_at", "ingested_at") if c in items.columns]
     big = (
-        items.select("item_kind", "document_id", "item_no", "text")
+        items.select("item_kind", "document_id", "item_no", "text", *age)
         .join(F.broadcast(few), "item_kind")  # a row per kind of item
         .where(F.length("text") > F.col("_max"))
-        .dropDuplicates(["item_kind", "document_id", "item_no"])
+        .groupBy("item_kind", "document_id", "item_no", "_max", "_overlap")
+        .agg(F.max(F.struct(*age, "text")).alias("_last"))
+        .select("item_kind", "document_id", "item_no", "_max", "_overlap", F.col("_last.text").alias("text"))
     )
 
     def make():

@@ -14,6 +14,7 @@ import html
 import json
 import math
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +124,8 @@ def assess(text: str, structured: bool) -> tuple[str, str, bool]:
     return "ask", key, bool(STOP.search(t))
 
 
-#: A line of program text: brackets in it may stay open.
-CODE_LINE = re.compile(r"[{};]$|=>|\(\)|^\s*(?:const|let|for|if|SELECT|export|cache)\b|queue\.push|--\w+")
+#: A line of program text: statement ends, arrows, calls, flags of commands, keywords before names; brackets in it may stay open.
+CODE_LINE = re.compile(r"[{};]$|=>|->|\(\)|\w\.\w+\(|\s--\w|^\s*(?:const|let|var|def|class|import|return|for|while|if|SELECT|INSERT|UPDATE)\s+\w+.*[=({*;]")
 
 #: A limit is a length, round or not, at which a source has so many unfinished texts, and more than the rate of the lengths within NEAR
 #: of it explains: a Poisson count of that rate is as high with a probability of at most CHANCE.
@@ -148,14 +149,14 @@ def records(results: DataFrame, blocks: DataFrame, calls: DataFrame) -> DataFram
     return r.unionByName(b)
 
 
-MEASURED = "record_kind string, record_id string, provider string, project_id string, verdict string, key string, stopped boolean, counts array<string>"
+MEASURED = "record_kind string, record_id string, provider string, project_id string, verdict string, key string, stopped boolean, counts array<string>, text_hash bigint"
 
 
 def measure_text(text: str, structured: bool) -> tuple:
-    """(verdict, key, stopped, counts) of one text; counts only where a limit could have cut it."""
+    """(verdict, key, stopped, counts, text_hash) of one text; counts of texts of any length, but only where a limit could have cut them."""
     verdict, key, stopped = assess(text, structured)
-    counts = [f"{n}={f(text)}" for n, f in COUNTS.items()] if not stopped and verdict != "whole" and len(text) >= 60 else None
-    return verdict, key if verdict == "ask" else None, stopped, counts
+    counts = [f"{n}={f(text)}" for n, f in COUNTS.items()] if not stopped and verdict != "whole" else None
+    return verdict, key if verdict == "ask" else None, stopped, counts, zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def measure(texts: DataFrame) -> DataFrame:
@@ -171,18 +172,26 @@ def measure(texts: DataFrame) -> DataFrame:
     return map_rows(texts.select("record_kind", "record_id", "provider", "project_id", "structured", "text"), MEASURED, make)
 
 
-def hidden_limits(measured: DataFrame) -> DataFrame:
+def hidden_limits(measured: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(record_kind, source, unit, length, n, n_near): lengths at which unfinished texts of a source pile up.
 
-    n_near counts the texts within NEAR, n among them. The rate is that of the
+    Unfinished is what breaks off by its own end or ends as no text is known
+    to end (known, of final_keys()): headings of one length are no limit. Only
+    different texts count, as a short text that comes again and again says
+    nothing of a limit. n_near counts the texts within NEAR, n among them. The rate is that of the
     other lengths there, with one text more, so that an empty neighbourhood
     has a rate too; the probability is Chernoff's bound, never too small.
     """
     source = F.coalesce("provider", "project_id", F.lit(""))
+    known = (final_keys(measured) if known is None else known).select("key", F.lit(True).alias("is_known"))
     at = (
         measured.where("NOT stopped AND counts IS NOT NULL AND verdict <> 'whole'")
-        .select("record_kind", source.alias("source"), F.explode("counts").alias("c"))
-        .select("record_kind", "source", F.split_part("c", F.lit("="), F.lit(1)).alias("unit"), F.split_part("c", F.lit("="), F.lit(2)).cast("int").alias("length"))
+        .join(known, "key", "left")
+        .where("verdict = 'cut' OR is_known IS NULL")
+        .select("record_kind", source.alias("source"), "text_hash", F.explode("counts").alias("c"))
+        .select("record_kind", "source", "text_hash", F.split_part("c", F.lit("="), F.lit(1)).alias("unit"), F.split_part("c", F.lit("="), F.lit(2)).cast("int").alias("length"))
+        .groupBy("record_kind", "source", "unit", "length", "text_hash")
+        .agg(F.lit(1).alias("one"))
         .groupBy("record_kind", "source", "unit", "length")
         .agg(F.count("*").alias("n"))
     )
@@ -225,12 +234,12 @@ def truncated(measured: DataFrame) -> DataFrame:
     without a word are whole. An empty table gives no row.
     """
     ask = measured.where("verdict = 'ask' AND NOT stopped")
-    limits = hidden_limits(measured).select("record_kind", "source", F.concat_ws("=", "unit", F.col("length").cast("string")).alias("c")).distinct()
+    known = final_keys(measured)
+    limits = hidden_limits(measured, known).select("record_kind", "source", F.concat_ws("=", "unit", F.col("length").cast("string")).alias("c")).distinct()
     source = F.coalesce("provider", "project_id", F.lit(""))
     at_limit = (
         ask.where("counts IS NOT NULL").select("record_kind", "record_id", source.alias("source"), F.explode("counts").alias("c")).join(limits, ["record_kind", "source", "c"], "left_semi").select("record_kind", "record_id").distinct().withColumn("at_limit", F.lit(True))
     )
-    known = final_keys(measured)
     asked = ask.join(known, "key", "left").join(at_limit, ["record_kind", "record_id"], "left").where("key <> '' AND (closed IS NULL OR (at_limit AND NOT closed))")
     cols = ("record_kind", "record_id", "provider", "project_id")
     return (
@@ -241,10 +250,10 @@ def truncated(measured: DataFrame) -> DataFrame:
 
 
 def rates(measured: DataFrame, cut: DataFrame) -> DataFrame:
-    """(record_kind, provider, project_id, n, n_truncated, share): per provider and per project."""
-    m = measured.select("record_kind", "record_id", "provider", "project_id").join(cut.select("record_kind", "record_id").withColumn("_cut", F.lit(1)), ["record_kind", "record_id"], "left")
+    """(record_kind, provider, project_id, n, n_truncated, share, n_end, n_limit, n_fragment): per provider and per project, with the rows that each reason gives."""
+    m = measured.select("record_kind", "record_id", "provider", "project_id").join(cut.select("record_kind", "record_id", "reason"), ["record_kind", "record_id"], "left")
     return (
         m.groupingSets([["record_kind", "provider"], ["record_kind", "project_id"]], "record_kind", "provider", "project_id")
-        .agg(F.count("*").alias("n"), F.count("_cut").alias("n_truncated"))
+        .agg(F.count("*").alias("n"), F.count("reason").alias("n_truncated"), *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("end", "limit", "fragment")])
         .withColumn("share", F.col("n_truncated") / F.col("n"))
     )

@@ -32,15 +32,20 @@ def test_table(spark):
     assert t.truncated(t.measure(df.limit(0))).count() == 0
 
 
+def _broken(i: int) -> str:
+    """Three letters that end no text twice."""
+    return "".join(chr(97 + i // k % 26) for k in (1, 26, 676))
+
+
 def test_hidden_limit(spark):
-    rows = [("block", f"x{i}", "p", "q", False, ("The editor reads every page " * 5)[: 120 - len(str(i))] + str(i)[-1] * len(str(i))) for i in range(8)]
+    rows = [("block", f"x{i}", "p", "q", False, ("The editor reads every page " * 5)[:117] + _broken(i)) for i in range(8)]
     df = spark.createDataFrame(rows, "record_kind string, record_id string, provider string, project_id string, structured boolean, text string")
     limits = {(r.unit, r.length) for r in t.hidden_limits(t.measure(df)).collect()}
     assert ("chars", 120) in limits
 
 
 def _limits(spark, lengths):
-    rows = [("block", f"x{i}", "p", "q", False, ("The editor reads every page " * 99)[: n - 3] + "pla") for i, n in enumerate(lengths)]
+    rows = [("block", f"x{i}", "p", "q", False, (f"{i:04} " + "The editor reads every page " * 99)[: n - 3] + _broken(i)) for i, n in enumerate(lengths)]
     df = spark.createDataFrame(rows, "record_kind string, record_id string, provider string, project_id string, structured boolean, text string")
     return {r.length for r in t.hidden_limits(t.measure(df)).where("unit = 'chars'").collect()}
 
@@ -53,3 +58,24 @@ def test_limit_among_many_texts(spark):
     around = [n for n in range(105, 136) for _ in range(4)]
     assert _limits(spark, around + [120] * 20) == {120}
     assert _limits(spark, around * 3) == set()
+
+
+def test_planted_limits_of_other_units(spark):
+    open_end = "the editor keeps naïve “quotes” & <marks> of every page pla"
+    def until(count, n, i):
+        text = f"{i:03} " + open_end * 60
+        while count(text) > n:
+            text = text[:-1]
+        return text
+    plan = [("a", "chars", 255), ("b", "utf8", 255), ("c", "entities", 1023), ("d", "crlf", 50)]
+    rows = [("block", f"{k}{i}", k, "q", False, until(t.COUNTS[unit], n, i)) for k, unit, n in plan for i in range(25)]
+    rows += [("block", f"{k}n{i}", k, "q", False, (f"{i:03} " + open_end * 60)[: 30 + 17 * i % 900]) for k, *_ in plan for i in range(60)]
+    df = spark.createDataFrame(rows, "record_kind string, record_id string, provider string, project_id string, structured boolean, text string")
+    found = {(r.source, r.unit, r.length) for r in t.hidden_limits(t.measure(df)).collect()}
+    assert {(k, unit, n) for k, unit, n in plan} <= found
+
+
+def test_same_text_again_is_no_limit(spark):
+    rows = [("block", f"x{i}", "p", "q", False, "The editor") for i in range(50)]
+    df = spark.createDataFrame(rows, "record_kind string, record_id string, provider string, project_id string, structured boolean, text string")
+    assert t.hidden_limits(t.measure(df)).count() == 0
