@@ -1,3 +1,5 @@
+import random
+
 from folioflow.llm import truncation as t
 
 
@@ -61,15 +63,21 @@ def test_limit_among_many_texts(spark):
 
 
 def test_planted_limits_of_other_units(spark):
-    open_end = "the editor keeps naïve “quotes” & <marks> of every page pla"
-    def until(count, n, i):
-        text = f"{i:03} " + open_end * 60
+    draw = random.Random(3)
+
+    def prose(n):
+        word = lambda: "".join(draw.choices("abcdefghijklmnoprstuvwzäé", k=draw.randint(2, 9)))
+        return " ".join(word() + draw.choice(["", "", "", " &", " “so”"]) for _ in range(n))
+
+    def until(count, n):
+        text = prose(400)
         while count(text) > n:
             text = text[:-1]
-        return text
+        return text if count(text) == n and text[-1].isalpha() else until(count, n)
+
     plan = [("a", "chars", 255), ("b", "utf8", 255), ("c", "entities", 1023), ("d", "crlf", 50)]
-    rows = [("block", f"{k}{i}", k, "q", False, until(t.COUNTS[unit], n, i)) for k, unit, n in plan for i in range(25)]
-    rows += [("block", f"{k}n{i}", k, "q", False, (f"{i:03} " + open_end * 60)[: 30 + 17 * i % 900]) for k, *_ in plan for i in range(60)]
+    rows = [("block", f"{k}{i}", k, "q", False, until(t.COUNTS[unit], n)) for k, unit, n in plan for i in range(25)]
+    rows += [("block", f"{k}n{i}", k, "q", False, prose(200)[: 30 + 17 * i % 900]) for k, *_ in plan for i in range(60)]
     df = spark.createDataFrame(rows, "record_kind string, record_id string, provider string, project_id string, structured boolean, text string")
     found = {(r.source, r.unit, r.length) for r in t.hidden_limits(t.measure(df)).collect()}
     assert {(k, unit, n) for k, unit, n in plan} <= found
