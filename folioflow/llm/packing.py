@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.arrow import map_rows
@@ -41,8 +41,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def round_robin(sizes: list[int], queues: list[str], capacity: int, deficit: dict[str, float] | None = None) -> list[list[int]]:
-    """Indexes of items by container, mixing the queues in the proportion of their tokens.
+def round_robin(sizes: list[int], queues: list[str], capacity: int, deficit: dict[str, float] | None = None, share: dict[str, float] | None = None) -> list[list[int]]:
+    """Indexes of items by container, mixing the queues in the proportions ``share``, or those of their tokens.
 
     ``deficit`` is carried in and out: tokens a queue is owed.
     """
@@ -53,7 +53,7 @@ def round_robin(sizes: list[int], queues: list[str], capacity: int, deficit: dic
     for w in waiting.values():
         w.sort()
     total = sum(sizes) or 1
-    quantum = {q: capacity * sum(s for s, _ in w) / total for q, w in waiting.items()}
+    quantum = {q: capacity * (sum(s for s, _ in w) / total if share is None else share.get(q, 0.0)) for q, w in waiting.items()}
     out: list[list[int]] = []
     while waiting:
         room, got = capacity, []
@@ -81,33 +81,44 @@ def round_robin(sizes: list[int], queues: list[str], capacity: int, deficit: dic
 
 
 def fullest_first(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Indexes of items by container: each holds the largest item left and the subset of the others that fills it most."""
-    left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    """Indexes of items by container: each holds the largest item left and the subset of the others that fills it most.
+
+    Subset sums run over the different sizes left, each as often as it may fit,
+    so a container costs at most ``capacity`` sizes however many items wait.
+    """
+    waiting: dict[int, list[int]] = {}
+    for i in sorted(range(len(sizes)), key=lambda i: -i):
+        waiting.setdefault(sizes[i], []).append(i)
+    order = sorted(waiting)
+    free = waiting.pop(0, [])  # empty items go into the first container
     out: list[list[int]] = []
-    while left:
-        first, rest = left[0], left[1:]
-        room = capacity - sizes[first]
+    while order and order[-1] > 0:
+        first = order[-1]
+        got, room = [waiting[first].pop()], capacity - first
         mask = (1 << (room + 1)) - 1
-        sums = [1]  # bit s: the items so far have a subset of sum s
-        for i in rest:
-            sums.append((sums[-1] | sums[-1] << sizes[i]) & mask)
-        s = sums[-1].bit_length() - 1
-        got = [first]
-        for k in range(len(rest), 0, -1):
-            if not sums[k - 1] >> s & 1:
-                got.append(rest[k - 1])
-                s -= sizes[rest[k - 1]]
-        taken = set(got)
-        taken.update(i for i in rest if sizes[i] == 0)
-        out.append(sorted(taken))
-        left = [i for i in left if i not in taken]
+        sums, steps = [1], []  # bit s: the sizes so far have a subset of sum s
+        for s in order[bisect_left(order, 1) : bisect_left(order, room + 1)]:
+            many, k = min(len(waiting[s]), room // s), 1
+            while many > 0:
+                take = min(k, many)
+                steps.append((s, take))
+                sums.append((sums[-1] | sums[-1] << s * take) & mask)
+                many -= take
+                k *= 2
+        left = sums[-1].bit_length() - 1
+        for j in range(len(steps), 0, -1):
+            if not sums[j - 1] >> left & 1:
+                s, take = steps[j - 1]
+                got += [waiting[s].pop() for _ in range(take)]
+                left -= s * take
+        out.append(sorted(got + free))
+        free = []
+        order = [s for s in order if waiting.get(s)]
+    if free:
+        out.append(sorted(free))
     return out
 
 
-#: Units of a call up to which every container is filled by exact subset sums where that saves one; beyond, by best fit.
-EXACT = 400
-
-
 def pack(sizes: list[int], queues: list[str], capacity: int, deficit: dict[str, float] | None = None) -> list[list[int]]:
     """Containers of one call; every size is at most the capacity."""
     mixed = round_robin(sizes, queues, capacity, deficit)
@@ -115,7 +126,7 @@ def pack(sizes: list[int], queues: list[str], capacity: int, deficit: dict[str,
     if len(mixed) <= floor:
         return mixed
     tight = best_fit(sizes, capacity)
-    if min(len(mixed), len(tight)) > floor and len(sizes) <= EXACT:
+    if min(len(mixed), len(tight)) > floor:
         tight = min(tight, fullest_first(sizes, capacity), key=len)
     return mixed if len(mixed) <= len(tight) else tight
 
@@ -168,6 +179,63 @@ def pack_calls(calls: DataFrame) -> DataFrame:
     return map_rows(once, "call_id string, request_no int, unit_id string, part_no int, n_parts int, tokens int, oversized boolean, capacity int", make)
 
 
+#: Tokens of a part of the corpus that one task packs.
+PART_TOKENS = 20_000_000
+
+
+def mix_windows(items: DataFrame, capacity: int, targets: dict[str, float] | None = None, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """Items of all sources, packed into windows of ``capacity`` tokens that hold target proportions of the sources.
+
+    items: item_id, source, tokens. Result: window_id, item_id, piece_no,
+    source, tokens. Deficit round-robin over the source queues: each window
+    adds capacity times its proportion to what a queue is owed, and a queue
+    owed most goes first. What is owed is carried from window to window and
+    from part to part: parts are dealt out by a hash of the items, a part
+    begins with what the parts before it owe by their sums, so no queue is
+    gathered. targets defaults to the sources' shares of all tokens; sources
+    without a target wait for room that no other can fill. An item larger than
+    the capacity is divided, no other is. Null ids, null sources and null or
+    negative tokens give no row, repeated rows of an item come once (the
+    largest), empty tables give no row.
+    """
+    once = items.where("item_id IS NOT NULL AND source IS NOT NULL AND tokens >= 0").groupBy("item_id").agg(F.max(F.struct(F.col("tokens").cast("bigint").alias("tokens"), "source")).alias("x")).select("item_id", "x.source", "x.tokens")
+    total = once.agg(F.sum("tokens")).first()[0] or 0
+    parts = max(1, -(-total // part_tokens))
+    dealt = once.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int"))
+    sums = dealt.groupBy("part", "source").agg(F.sum("tokens").alias("n"))
+    whole = sums.groupBy("source").agg((F.sum("n") / F.lit(float(total or 1))).alias("share"))
+    if targets is not None:
+        scale = sum(targets.values()) or 1.0
+        whole = whole.select("source", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, v / scale)]) if targets else F.lit(None).cast("map<string,double>"), F.col("source")), F.lit(0.0)).alias("share"))
+    # parts x sources rows: what each part begins with
+    grid = whole.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(sums, ["part", "source"], "left").fillna(0, ["n"])
+    size = Window.partitionBy("part")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    owed = grid.withColumn("all", F.sum("n").over(size)).select("part", "source", "share", F.coalesce(F.sum(F.col("share") * F.col("all") - F.col("n")).over(before), F.lit(0.0)).alias("owed"))
+
+    def fill(key, got, begin):
+        import pyarrow as pa
+
+        part = key[0].as_py()
+        rows, queues = got.to_pydict(), begin.to_pylist()
+        pieces = sorted((i, k, q, s) for i, q, t in zip(rows["item_id"], rows["source"], rows["tokens"]) for k, s in enumerate(divide(t, capacity) if t > capacity else [t]))
+        deficit = {q["queue"]: q["owed"] for q in queues}
+        share = {q["queue"]: q["share"] for q in queues}
+        bins = round_robin([p[3] for p in pieces], [p[2] for p in pieces], capacity, deficit, share)
+        out = [(f"{part}_{w}", *pieces[j]) for w, b in enumerate(bins) for j in sorted(b)]
+        cols = list(zip(*out)) if out else [[]] * 5
+        return pa.table({"window_id": pa.array(cols[0], pa.string()), "item_id": pa.array(cols[1], pa.string()), "piece_no": pa.array(cols[2], pa.int32()), "source": pa.array(cols[3], pa.string()), "tokens": pa.array(cols[4], pa.int64())})
+
+    return dealt.groupBy("part").cogroup(owed.toDF("of_part", "queue", "share", "owed").groupBy("of_part")).applyInArrow(fill, "window_id string, item_id string, piece_no int, source string, tokens bigint")
+
+
+def fill_report(requests: DataFrame) -> DataFrame:
+    """(call_id, requests, least, unused, unused_least): requests of pack_calls() by call, against the bound that tokens and capacity set."""
+    r = requests.where("capacity > 0").groupBy("call_id", "capacity").agg(F.countDistinct("request_no").cast("bigint").alias("requests"), F.sum("tokens").cast("bigint").alias("n"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity"))).cast("bigint")
+    return r.select("call_id", "requests", least.alias("least"), (F.col("requests") * F.col("capacity") - F.col("n")).alias("unused"), (least * F.col("capacity") - F.col("n")).alias("unused_least"))
+
+
 def _source(unit_id: str) -> str:
     """The queue of a unit: its block id without the block's number."""
     return unit_id.rpartition("_b")[0]

@@ -73,6 +73,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_requests(spark, d).where("oversized AND part_no = 0").select("call_id", "unit_id")
 
 
+def p4_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p4_requests(spark, d))
+
+
+def p4_windows(spark: SparkSession, d: str) -> DataFrame:
+    """All units of all calls in windows of 4,096 tokens that hold each project's share."""
+    ship(spark)
+    u = table(spark, d, "translation_call").select("project_id", F.explode("units").alias("u"))
+    return packing.mix_windows(u.select(F.col("u.id").alias("item_id"), F.col("project_id").alias("source"), F.col("u.tokens").alias("tokens")), 4096)
+
+
 def _languages(spark, d):
     ship(spark)
     blocks, docs = table(spark, d, "export_block"), table(spark, d, "export_document")
@@ -155,7 +166,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_pieces, p2_found, p3_found, p3_rates, p3_limits, p4_found, p4_requests, p5_found, p5_documents, p5_stretches, p6_found, p7_found, p7_paragraphs, p8_ids, p8_round_trip, p9_found, p9_clean, p10_found, p10_clean)
+    every = (p1_found, p1_pieces, p2_found, p3_found, p3_rates, p3_limits, p4_found, p4_requests, p4_fill, p4_windows, p5_found, p5_documents, p5_stretches, p6_found, p7_found, p7_paragraphs, p8_ids, p8_round_trip, p9_found, p9_clean, p10_found, p10_clean)
     return {f.__name__: f for f in every}
 
 
