@@ -4,7 +4,9 @@ Every batch of documents is a shard. Its words are numbered by the test
 vocabulary and sorted into a suffix array by prefix doubling; each suffix of
 each test item is looked up in it by binary search, which gives all places
 that share at least ``seed`` words, and the longest verbatim match at each.
-Matches on one diagonal, or nearly so, join into stretches.
+Matches on one diagonal, or nearly so, join into stretches. The test items are
+numbered once a task; a shard's memory is bounded by its own size and by
+SUFFIXES and PLACES, whatever the number of items.
 """
 
 from __future__ import annotations
@@ -37,25 +39,25 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def levels(seq: np.ndarray, rounds: int) -> list[np.ndarray]:
-    """Ranks of the suffixes of ``seq`` by their first 1, 2, 4, … words (prefix doubling).
+def suffix_array(seq: np.ndarray, longest: int) -> np.ndarray:
+    """The places of ``seq`` in the order of their suffixes, by prefix doubling.
 
-    Negative entries are separators: each is a word of its own, so no rank
-    reaches across texts.
+    Negative entries are separators: each is a word of its own, so no suffix
+    reaches across texts. Doubling ends when all suffixes differ, or when
+    ``longest`` words are told apart, more than any suffix looked up has.
     """
     seq = seq.astype(np.int64)
     cuts = seq < 0
     first = seq.copy()
     first[cuts] = seq.max(initial=0) + 1 + np.arange(cuts.sum())
-    ranks = [np.unique(first, return_inverse=True)[1].astype(np.int64)]
-    n = len(seq)
-    for r in range(rounds):
-        prev, h = ranks[-1], 1 << r
+    kinds, rank = np.unique(first, return_inverse=True)
+    n, h = len(seq), 1
+    while h < longest and len(kinds) < n:
         ahead = np.full(n, -1, np.int64)
-        if h < n:
-            ahead[: n - h] = prev[h:]
-        ranks.append(np.unique(prev * (n + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64))
-    return ranks
+        ahead[: n - h] = rank[h:]
+        kinds, rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)
+        h *= 2
+    return np.argsort(rank, kind="stable")
 
 
 class Tests:
@@ -77,13 +79,46 @@ class Tests:
         self.seq, self.item, self.pos = np.array(seq, np.int64), np.array(item, np.int64), np.array(pos, np.int64)
         self.length = np.array([len(w) for w in cut], np.int64)
         self.weight = [np.concatenate(([0], np.cumsum([len(x) for x in w]))) for w in cut]
-        self.rounds = max(1, int(self.length.max(initial=1)).bit_length())
+        self.longest = int(self.length.max(initial=1))
+        # suffixes that have seed words
+        at = np.flatnonzero(self.seq >= 0)
+        self.starts = at[self.pos[at] + seed <= self.length[self.item[at]]] if len(at) else at
+
+
+#: Test suffixes searched, and pairs of places compared, at a time: the bound of a call's memory.
+SUFFIXES, PLACES = 500_000, 2_000_000
+
+
+def interval(train: np.ndarray, order: np.ndarray, tests: np.ndarray, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of the suffix array that begin with the ``depth`` words of ``tests`` at each of ``q``, by binary search for each word."""
+    n = len(order)
+    lo, hi = np.zeros(len(q), np.int64), np.full(len(q), n, np.int64)
+    for k in range(depth):
+        want = tests[q + k]
+
+        def bound(right: bool):
+            a, b = lo.copy(), hi.copy()
+            while True:
+                open_ = a < b
+                if not open_.any():
+                    return a
+                mid = (a + b) >> 1
+                at = order[np.minimum(mid, n - 1)] + k
+                word = np.where(at < n, train[np.minimum(at, n - 1)], -1)
+                # separators follow all words in the suffix order
+                word = np.where(word < 0, np.iinfo(np.int64).max, word)
+                down = word <= want if right else word < want
+                a, b = np.where(open_ & down, mid + 1, a), np.where(open_ & ~down, mid, b)
+
+        lo, hi = bound(False), bound(True)
+    return lo, hi
 
 
 def matches(texts: list[str | None], tests: Tests) -> list[np.ndarray]:
     """Maximal verbatim matches of at least ``seed`` words: columns document, place, item, place in it, words."""
     seq, doc, pos = [], [], []
     get = tests.vocabulary.get
+    none = [np.empty(0, np.int64)] * 5
     for k, t in enumerate(texts):
         if not t:
             continue
@@ -97,43 +132,46 @@ def matches(texts: list[str | None], tests: Tests) -> list[np.ndarray]:
             if b - a >= tests.seed:
                 seq.append(w[a:b]), seq.append([-1])
                 doc.append(np.full(b - a + 1, k)), pos.append(np.arange(a, b + 1))
-    if not seq:
-        return [np.empty(0, np.int64)] * 5
+    if not seq or not len(tests.starts):
+        return none
     train = np.concatenate(seq).astype(np.int64)
     doc, pos, n = np.concatenate(doc), np.concatenate(pos), len(train)
-    both = levels(np.concatenate([train, tests.seq]), tests.rounds)
-    level = max(0, (tests.seed - 1).bit_length())
-    if 1 << level > tests.seed:
-        level -= 1
-    # the suffix array of the shard, in the order of its first 2**level words, and a binary search for each test suffix
-    order = np.argsort(both[level][:n], kind="stable")
-    keys = both[level][:n][order]
-    at = np.flatnonzero(tests.seq >= 0)
-    wanted = both[level][n:][at]
-    lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-    many = hi - lo
-    q = np.repeat(at, many)
-    p = order[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-    # left-maximal matches only
-    before_q = np.where(q > 0, tests.seq[q - 1], -1)
-    before_p = np.where(p > 0, train[p - 1], -1)
-    keep = (before_q < 0) | (before_p < 0) | (before_q != before_p)
-    q, p = q[keep], p[keep]
-    # longest match from the levels, largest first
-    size = np.zeros(len(q), np.int64)
-    end_t, end_q = n, len(tests.seq)
-    for r in range(len(both) - 1, -1, -1):
-        a, b = p + size, q + size
-        ok = (a < end_t) & (b < end_q)
-        same = np.zeros(len(q), bool)
-        same[ok] = (both[r][a[ok]] == both[r][n + b[ok]]) & (train[a[ok]] >= 0)
-        size[same] += 1 << r
-    good = size >= tests.seed
-    return [doc[p[good]], pos[p[good]], tests.item[q[good]], tests.pos[q[good]], size[good]]
-
-
-def stretches(place: np.ndarray, at: np.ndarray, size: np.ndarray, gap: int) -> list[tuple[int, int, int, int]]:
-    """Matches of one document and item joined: (item start, item end, words matched, matches).
+    order = suffix_array(train, tests.longest)
+    found = []
+    for a in range(0, len(tests.starts), SUFFIXES):
+        some = tests.starts[a : a + SUFFIXES]
+        lo, hi = interval(train, order, tests.seq, some, tests.seed)
+        many = hi - lo
+        some, lo, many = some[many > 0], lo[many > 0], many[many > 0]
+        ends = np.cumsum(many)
+        b = 0
+        while b < len(some):
+            # as many suffixes as have PLACES places, one at least
+            e = max(b + 1, int(np.searchsorted(ends, (ends[b - 1] if b else 0) + PLACES, "right")))
+            m = many[b:e]
+            q = np.repeat(some[b:e], m)
+            p = order[np.repeat(lo[b:e], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            b = e
+            # left-maximal matches only
+            before_q = np.where(q > 0, tests.seq[q - 1], -1)
+            before_p = np.where(p > 0, train[p - 1], -1)
+            keep = (before_q < 0) | (before_p < 0) | (before_q != before_p)
+            q, p = q[keep], p[keep]
+            size = np.full(len(q), tests.seed, np.int64)
+            live = np.arange(len(q))
+            while len(live):
+                x, y = p[live] + size[live], q[live] + size[live]
+                same = (x < n) & (y < len(tests.seq))
+                same &= train[np.minimum(x, n - 1)] == tests.seq[np.minimum(y, len(tests.seq) - 1)]
+                same &= train[np.minimum(x, n - 1)] >= 0
+                live = live[same]
+                size[live] += 1
+            found.append((doc[p], pos[p], tests.item[q], tests.pos[q], size))
+    return [np.concatenate(c) for c in zip(*found)] if found else none
+
+
+def stretches(place: np.ndarray, at: np.ndarray, size: np.ndarray, gap: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches of one document and item joined: (item start, item end, words matched, matches, document start, document end).
 
     A match joins the stretch that ends at most ``gap`` words before it on
     both sides, or overlaps its end on nearly the same diagonal.
@@ -147,15 +185,15 @@ def stretches(place: np.ndarray, at: np.ndarray, size: np.ndarray, gap: int) ->
             if -n < da <= gap and -n < dp <= gap and abs(da - dp) <= gap and a + n > s[1] and (best is None or abs(da - dp) < abs(a - best[1] - p + best[4])):
                 best = s
         if best is None:
-            out.append([a, a + n, n, 1, p + n])
+            out.append([a, a + n, n, 1, p + n, p])
         else:
             best[2] += a + n - max(a, best[1])
             best[1], best[4], best[3] = a + n, p + n, best[3] + 1
-    return [(s[0], s[1], s[2], s[3]) for s in out]
+    return [(s[0], s[1], s[2], s[3], s[5], s[4]) for s in out]
 
 
-def coverage(tests: Tests, item: int, parts: list[tuple[int, int, int, int]], least: int) -> tuple[float, int, int]:
-    """(share of the item's characters in stretches, longest stretch in words, stretches that count).
+def coverage(tests: Tests, item: int, parts: list[tuple[int, int, int, int, int, int]], least: int) -> tuple[float, int, int, int, int]:
+    """(share of the item's characters in stretches, longest stretch in words, stretches that count, the longest's first word in the document, and its end).
 
     A stretch counts from ``least`` words on, single characters half, and only
     if most of its words are matched.
@@ -163,18 +201,21 @@ def coverage(tests: Tests, item: int, parts: list[tuple[int, int, int, int]], le
     hit = np.zeros(int(tests.length[item]), bool)
     w = tests.weight[item]
     half = np.concatenate(([0], np.cumsum(np.where(np.diff(w) > 1, 1.0, 0.5))))
-    longest = n = 0
-    for a, b, matched, _ in parts:
+    longest = n = start = end = 0
+    for a, b, matched, _, x, y in parts:
         if half[b] - half[a] >= least and matched * 2 >= b - a:
             hit[a:b] = True
-            longest, n = max(longest, b - a), n + 1
-    return float((np.diff(w) * hit).sum() / max(1, w[-1])), longest, n
+            n += 1
+            if b - a > longest:
+                longest, start, end = b - a, x, y
+    return float((np.diff(w) * hit).sum() / max(1, w[-1])), longest, n, start, end
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, seed: int = 3, gap: int = 4, least: int = 10) -> DataFrame:
-    """Documents that hold at least ``share`` of a test item: doc_id, item_id, share, longest, stretches.
+    """Documents that hold at least ``share`` of a test item: doc_id, item_id, share, longest, stretches, start_word, end_word.
 
-    docs: doc_id, text; items: item_id, text. Case, compatibility forms,
+    start_word and end_word are the place of the longest stretch in the
+    document, in words from 0, the end exclusive. docs: doc_id, text; items: item_id, text. Case, compatibility forms,
     punctuation, spacing and invisible characters don't count; single changed
     words are bridged. The items are the stated query set: they are fetched to
     the driver in blocks of ``BLOCK`` ordered by item_id, every block is
@@ -195,25 +236,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, seed: int
 
             def kernel(ids, texts):
                 d, p, i, a, n = matches(texts, tests)
-                out = [[] for _ in range(5)]
+                out = [[] for _ in range(7)]
                 if len(d):
                     group = d * len(tests.ids) + i
                     order = np.argsort(group, kind="stable")
-                    edges = np.flatnonzero(np.diff(group[order])) + 1
-                    for part in np.split(order, edges):
-                        # what is matched at most can't reach the share
+                    group = group[order]
+                    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
+                    # exact bounds: what stretches cover lies between the first and the last match, and has twice the matched words at most
+                    first, last = np.minimum.reduceat(a[order], edges), np.maximum.reduceat((a + n)[order], edges)
+                    matched = np.add.reduceat(n[order], edges)
+                    ends = np.append(edges[1:], len(order))
+                    for e0, e1, lo, hi, m in zip(edges, ends, first, last, matched):
+                        part = order[e0:e1]
                         item = int(i[part[0]])
-                        if int(n[part].sum()) * 3 < tests.length[item] * share:
+                        w = tests.weight[item]
+                        if m * 2 < least or w[hi] - w[lo] < share * w[-1]:
                             continue
-                        s, longest, k = coverage(tests, item, stretches(p[part], a[part], n[part], gap), least)
+                        s, longest, k, x, y = coverage(tests, item, stretches(p[part], a[part], n[part], gap), least)
                         if s >= share:
-                            for col, v in zip(out, (ids[int(d[part[0]])], tests.ids[item], s, longest, k)):
+                            for col, v in zip(out, (ids[int(d[part[0]])], tests.ids[item], s, longest, k, x, y)):
                                 col.append(v)
                 return out
 
             return kernel
 
-        return map_rows(docs.select("doc_id", "text"), "doc_id bigint, item_id bigint, share double, longest int, stretches int", make, rows=SHARD)
+        return map_rows(docs.select("doc_id", "text"), "doc_id bigint, item_id bigint, share double, longest int, stretches int, start_word int, end_word int", make, rows=SHARD)
 
     for row in query.toLocalIterator():
         block.append((row.item_id, row.text))
@@ -223,7 +270,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, seed: int
     if block or found is None:
         part = search(block)
         found = part if found is None else found.union(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("longest").alias("longest"), F.max("stretches").alias("stretches"))
+    best = F.max(F.struct("share", "longest", "stretches", "start_word", "end_word")).alias("x")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 
 
 def remove_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:

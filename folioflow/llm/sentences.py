@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,8 @@ def kind_of(text: str) -> str:
 SURE = re.compile(r"[!?。！？။؟।]+[^\w\s]*$|[.…]+ ?[”»“\"』」]+$|[”»“\"]+[.…]+$|[”»」』]+$")
 
 
+STOPS = ".!?…。！？။؟।\"'”“’»)]）」』〉》】"
+
 #: Stops after a Thai letter, which the features don't see.
 THAI_STOP = re.compile(rf"(?<=[{THAI}])[.!?…。！？]+(?=[^\w\s]*$)")
 
@@ -63,18 +66,19 @@ def left_of(text: str) -> str:
         return sure.group()
     if len(x) <= 4:
         before = text[: m.start()].rstrip()[-1:]
-        x = ("0 " if before.isdigit() else "w " if before.isalpha() else "") + x
+        x = ("0 " if before.isdigit() else "w " if before.isalpha() else "s " if not before or before in STOPS else "") + x
     return x
 
 
 class Place:
     """A candidate: where the sentence would end and the next begin, its features, and whether it is ruled out."""
 
-    __slots__ = ("end", "start", "left", "right", "gap", "shut", "opens", "kind", "then")
+    __slots__ = ("end", "start", "left", "right", "gap", "shut", "opens", "kind", "then", "dist")
 
     def __init__(self, end, start, left, right, gap, shut, opens, kind, then):
         self.end, self.start, self.left, self.right, self.gap, self.shut, self.opens = end, start, left, right, gap, shut, opens
         self.kind, self.then = kind, then  # the writing before and after
+        self.dist = 0  # characters since the last place that isn't shut, or the text's beginning
 
 
 def spans_of_quotes(text: str) -> list[tuple[int, int]]:
@@ -108,9 +112,6 @@ def right_of(text: str, at: int) -> str:
     return DIGITS.sub("0", r.group()) if r else text[at]
 
 
-STOPS = ".!?…。！？။؟।\"'”“’»)]）」』〉》】"
-
-
 def places(text: str) -> list[Place]:
     """The candidates of a text, in order."""
     out: list[Place] = []
@@ -147,12 +148,27 @@ def places(text: str) -> list[Place]:
         kind, then = kind_of(text[max(0, e - 40) : e]), kind_of(text[s : s + 14])
         if stop not in STOPS and gap != "\n" and "th" not in (kind, then):
             continue
-        left, right = left_of(text[max(0, e - 32) : e]), right_of(text, s)
+        glued = out[-1].start if out and not out[-1].gap and stop in STOPS else 0  # the word of a place may not run over one without a space
+        left, right = left_of(text[max(glued, e - 32) : e]), right_of(text, s)
         last = e
         out.append(Place(e, s, left, right, gap, inside, after, kind, then))
     return out
 
 
+def open_places(text: str) -> list[Place]:
+    """The candidates outside quotations, each with its distance from the one before."""
+    out = [p for p in places(text) if not p.shut]
+    at = len(text) - len(text.lstrip())
+    for p in out:
+        p.dist = p.end - at
+        at = p.start
+    return out
+
+
+#: Upper ends of the classes of distance, in characters.
+DISTANCES = (3, 8)
+
+
 def ends(text: str) -> tuple[str, str] | None:
     """What ends and what begins a whole text."""
     t = text.strip()
@@ -163,24 +179,42 @@ def ends(text: str) -> tuple[str, str] | None:
 
 def shape(left: str) -> str:
     """The class of a left context, for those too rare to know."""
-    left = left.removeprefix("0 ").removeprefix("w ")
+    first = "s" if left.startswith("s ") else ""  # a short word that would be a sentence
+    left = left.removeprefix("0 ").removeprefix("w ").removeprefix("s ")
     word = left.rstrip("".join(CLOSERS) + ".!?…。！？။") or left
     tail = left[len(word) :]
     stop = next((c for c in tail if c in ".!?…。！？။"), " ")
     if len(tail) - len(tail.lstrip(".")) > 1:
         stop = "…"
     kind = "0" if word[-1:].isdigit() else "A" if len(word) == 1 and word.isupper() else "a" if len(word) <= 3 and word.isascii() else "w"
-    return f"{kind}{stop}"
+    return f"{first}{kind}{stop}"
 
 
 class Chain:
-    """Emission log-odds of one writing."""
+    """Emission log-odds of one writing, and the transition weights from boundary to boundary by distance.
+
+    Texts without a candidate inside are sentences: how long they are, against
+    how far apart candidates are, weighs a boundary right after a boundary.
+    """
 
     #: Rounds of expectation maximisation, steps in each, and the share of texts from which an edge counts.
     ROUNDS, STEPS, FEW = 5, 60, 2e-5
 
-    def __init__(self, left: dict[str, float], right: dict[str, float], shapes: dict[str, float], gaps: dict[str, float]):
+    def __init__(self, left: dict[str, float], right: dict[str, float], shapes: dict[str, float], gaps: dict[str, float], next_: list[float] | None = None):
         self.left, self.right, self.shapes, self.gaps = left, right, shapes, gaps
+        self.next = next_ or [0.0] * (len(DISTANCES) + 1)
+
+    def transition(self, dist: int) -> float:
+        """Weight of a boundary ``dist`` characters after a boundary."""
+        return self.next[bisect_left(DISTANCES, dist)]
+
+    @staticmethod
+    def transitions(single: list[int], dists: list[int]) -> list[float]:
+        """Log ratios of lengths of whole sentences to distances of candidates, by class; never over 0."""
+        k = len(DISTANCES) + 1
+        a = np.bincount([bisect_left(DISTANCES, n) for n in single], minlength=k) + 0.5
+        b = np.bincount([bisect_left(DISTANCES, n) for n in dists], minlength=k) + 0.5
+        return np.minimum(0.0, np.log(a / a.sum()) - np.log(b / b.sum())).tolist()
 
     def before(self, p: Place) -> float:
         a = self.left.get(p.left)
@@ -192,7 +226,7 @@ class Chain:
         return self.right.get(p.right, -1.0 if p.right[:1].isdigit() else 0.0)
 
     @classmethod
-    def train(cls, cand: list[Place], e_left: Counter, e_right: Counter) -> Chain:
+    def train(cls, cand: list[Place], e_left: Counter, e_right: Counter, single: list[int]) -> Chain:
         """Expectation maximisation over candidates, with the ends and beginnings of texts as known boundaries."""
         if not cand:
             return cls({}, {}, {}, {})
@@ -227,7 +261,7 @@ class Chain:
             z = weights[0][L] + weights[1][R] + weights[2][G] + weights[3][of_place]
             post = 1 / (1 + np.exp(-np.clip(1.5 * z, -30, 30)))
         full = weights[0] + weights[3][of_left]
-        return cls(dict(zip(li, full)), dict(zip(ri, weights[1])), dict(zip(si, weights[3])), dict(zip(gi, weights[2])))
+        return cls(dict(zip(li, full)), dict(zip(ri, weights[1])), dict(zip(si, weights[3])), dict(zip(gi, weights[2])), cls.transitions(single, [p.dist for p in cand]))
 
 
 class Model:
@@ -240,21 +274,29 @@ class Model:
         a, b = self.chains.get(p.kind), self.chains.get(p.then)
         return (a.before(p) if a else 0.0) + (b.after(p) if b else 0.0)
 
+    def transition(self, p: Place) -> float:
+        chain = self.chains.get(p.kind)
+        return chain.transition(p.dist) if chain else 0.0
+
     @classmethod
     def train(cls, texts: list[str]) -> Model:
         cand: dict[str, list[Place]] = {}
         lefts: dict[str, Counter] = {}
         rights: dict[str, Counter] = {}
+        single: dict[str, list[int]] = {}
         for t in texts:
             got = ends(t)
             if got:
                 t_ = t.strip()
                 lefts.setdefault(kind_of(t_[-40:]), Counter())[got[0]] += 1
                 rights.setdefault(kind_of(t_[:14]), Counter())[got[1]] += 1
-            for p in places(t):
-                if not p.shut and p.kind == p.then:
+            inner = open_places(t)
+            if got and not inner:
+                single.setdefault(kind_of(t_[:14]), []).append(len(t_))
+            for p in inner:
+                if p.kind == p.then:
                     cand.setdefault(p.kind, []).append(p)
-        return cls({k: Chain.train(v, lefts.get(k, Counter()), rights.get(k, Counter())) for k, v in cand.items()})
+        return cls({k: Chain.train(v, lefts.get(k, Counter()), rights.get(k, Counter()), single.get(k, [])) for k, v in cand.items()})
 
 
 def viterbi(text: str, model: Model) -> list[tuple[int, int]]:
@@ -263,16 +305,16 @@ def viterbi(text: str, model: Model) -> list[tuple[int, int]]:
     first = n - len(text.lstrip())
     if first >= n:
         return []
-    cand = [p for p in places(text) if not p.shut]
+    cand = open_places(text)
     # score of the best path that has the place inside or as a boundary, and the path's last boundary
     inside, bound = -math.inf, 0.0
     at = first
     back: list[tuple[bool, bool]] = []
     for p in cand:
         s = model.odds(p)
-        # a quotation that opens the sentence is framed by what follows; an initial is no sentence
-        framed = p.opens is not None and p.opens == at or p.end - at <= 3 and p.kind == "la"
-        b_from_b = -math.inf if framed else bound
+        # a quotation that opens the sentence is framed by what follows
+        framed = p.opens is not None and p.opens == at
+        b_from_b = -math.inf if framed else bound + model.transition(p)
         to_in, to_b = max(inside, bound), max(inside, b_from_b) + s
         back.append((bound > inside, b_from_b > inside))
         inside, bound = to_in, to_b
@@ -294,7 +336,7 @@ def viterbi(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-#: Bound of the training sample, in texts.
+#: Bound of the training sample, in texts in the mean: a hash of the block's id chooses them.
 SAMPLE_TEXTS = 24_000
 
 
@@ -305,7 +347,6 @@ def train(blocks: DataFrame) -> Model:
         blocks.where(F.pmod(F.xxhash64("block_id"), F.lit(max(1, n * 2 // SAMPLE_TEXTS))) == 0)
         .where("kind IN ('paragraph', 'quote')")
         .select("block_id", "source_text", "translated_text")
-        .limit(SAMPLE_TEXTS)
         .collect()
     )
     return Model.train(sorted({t for _, a, b in rows for t in (a, b) if t and "-\n" not in t}))

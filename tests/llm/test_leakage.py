@@ -30,10 +30,22 @@ def test_matches_against_brute_force():
     assert got == want
 
 
-def test_levels_rank_prefixes():
-    seq = np.array([1, 2, 1, 2, -1, 1, 2, -1])
-    r = K.levels(seq, 1)
-    assert r[1][0] == r[1][2] == r[1][5] and r[1][3] != r[1][6]
+def test_suffix_array_is_in_full_order():
+    random.seed(8)
+    seq = np.array([random.choice([1, 2, 3, -1]) for _ in range(200)] + [-1])
+    key = [v if v >= 0 else 100 + i for i, v in enumerate(seq.tolist())]
+    assert K.suffix_array(seq, 1000).tolist() == sorted(range(len(seq)), key=lambda i: key[i:])
+
+
+def test_bounded_steps_give_the_same(monkeypatch):
+    random.seed(4)
+    items = [(i, " ".join(random.choice("abcdefgh") for _ in range(40))) for i in range(30)]
+    docs = [" ".join(random.choice("abcdefgh") for _ in range(60)) for _ in range(9)] + [items[3][1], items[7][1] + " x " + items[3][1]]
+    tests = K.Tests(items, 3)
+    whole = set(zip(*(x.tolist() for x in K.matches(docs, tests))))
+    monkeypatch.setattr(K, "SUFFIXES", 7)
+    monkeypatch.setattr(K, "PLACES", 5)
+    assert whole == set(zip(*(x.tolist() for x in K.matches(docs, tests)))) and whole
 
 
 def test_table(spark):
@@ -46,5 +58,7 @@ def test_table(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     items = spark.createDataFrame([(9, item), (9, item), (10, None), (11, "")], "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id) for r in K.find_leaks(docs, items).collect()) == [(1, 9), (2, 9), (7, 9)]
+    places = {r.doc_id: (r.start_word, r.end_word) for r in K.find_leaks(docs, items).collect()}
+    assert places[1] == (1, 61) and places[2][0] <= 1
     assert K.find_leaks(docs, items.limit(0)).count() == 0 and K.find_leaks(docs.limit(0), items).count() == 0
     assert {r.doc_id for r in K.remove_leaks(docs, K.find_leaks(docs, items)).collect()} == {3, 4, 5, 6}
