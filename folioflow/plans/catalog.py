@@ -458,7 +458,7 @@ def recent_jobs(spark, d):
 
 def _edges_sql() -> str:
     states = ", ".join(f"('{s}')" for s in usage.TRANSITIONS)
-    edges = ", ".join(f"('{k}', '{x}')" for k, v in usage.TRANSITIONS.items() for x in v.split())
+    edges = ", ".join(f"('{k}', '{x}')" for k, v in usage.TRANSITIONS.items() for x in v)
     return f"WITH s(x) AS (VALUES {states}), e(a, b) AS (VALUES {edges}) SELECT s.x AS a, t.x AS b, s.x = t.x OR e.a IS NOT NULL AS may FROM s, s t LEFT JOIN e ON e.a = s.x AND e.b = t.x"
 
 
