@@ -65,12 +65,16 @@ def merge(prior: DataFrame, following: DataFrame) -> DataFrame:
 
 
 def reading_order(u: DataFrame) -> DataFrame:
-    """(block_id, reading_order): bands opened by blocks of at least .6 of the page's width, then top to bottom."""
+    """(block_id, reading_order): bands opened by blocks of at least .6 of the page's width, within them region by region, then top to bottom.
+
+    u: block_id, document_id, page_index, x, y, width, region, page_width.
+    Null regions come first, as region 0; ties go by block_id.
+    """
     page = Window.partitionBy("document_id", "page_index")
     flow = page.orderBy("y", "x", "block_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = u.withColumn("_width", F.max(F.col("x") + F.col("width")).over(page)).withColumn("_full", (F.col("width") >= F.lit(0.6) * F.col("_width")).cast("int"))
+    r = u.withColumn("_full", (F.col("width") >= F.lit(0.6) * F.col("page_width")).cast("int")).withColumn("_region", F.coalesce("region", F.lit(0)))
     r = r.withColumn("_band", F.sum("_full").over(flow))
-    return r.select("block_id", (F.row_number().over(page.orderBy("_band", F.desc("_full"), "y", "x", "block_id")) - 1).alias("reading_order"))
+    return r.select("block_id", (F.row_number().over(page.orderBy("_band", F.desc("_full"), "_region", "y", "x", "block_id")) - 1).alias("reading_order"))
 
 
 def paragraph_islands(lines: DataFrame) -> DataFrame:

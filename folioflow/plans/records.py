@@ -38,7 +38,18 @@ def upserted(spark, d):
 def cascade_delete(spark, d):
     gone = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
     left = records.cascade({"customer": table(spark, d, "customer").withColumnRenamed("c_custkey", "k"), "orders": table(spark, d, "orders").withColumnRenamed("o_custkey", "k")}, gone, "k")
-    return left["customer"].agg(F.lit("customer").alias("store"), F.count("*").alias("n")).unionByName(left["orders"].where("k % 3 <> 0").agg(F.lit("orders").alias("store"), F.count("*").alias("n")))
+    return left["customer"].agg(F.lit("customer").alias("store"), F.count("*").alias("n")).unionByName(left["orders"].agg(F.lit("orders").alias("store"), F.count("*").alias("n")))
+
+
+@query(
+    """SELECT entity, entity_id, op, max(tm) AS changed_at, arg_max(payload, o) AS payload FROM (SELECT event_type AS entity, CAST(user_id AS VARCHAR) AS entity_id, CASE event_id % 3 WHEN 0 THEN 'delete' ELSE 'upsert' END AS op,
+    ts AS tm, event_id AS payload, (ts, event_id) AS o FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL) GROUP BY 1, 2, 3"""
+)
+def change_queue(spark, d):
+    e = table(spark, d, "events").where("event_type IS NOT NULL AND user_id IS NOT NULL")
+    op = F.when(F.col("event_id") % 3 == 0, "delete").otherwise("upsert")
+    log = e.select(F.col("event_type").alias("entity"), F.col("user_id").cast("string").alias("entity_id"), op.alias("op"), F.struct("ts", "event_id").alias("at"), F.col("event_id").alias("payload"))
+    return records.changes(log).select("entity", "entity_id", "op", F.col("at.ts").alias("changed_at"), "payload")
 
 
 @query("SELECT p.project_id, coalesce(max(CASE WHEN d.page_count > 3 THEN 'large' END), 'small') AS size FROM projects p LEFT JOIN export_document d ON d.project_id = p.project_id GROUP BY 1")
@@ -47,9 +58,6 @@ def project_defaults(spark, d):
     return records.with_defaults(big, table(spark, d, "projects"), "project_id", {"size": "small"})
 
 
-@query("SELECT 'my' AS target_language, 5 AS batch_concurrency, false AS usage_tracking, 'standard' AS quality")
-def settings_row(spark, d):
-    return records.settings(spark.createDataFrame([("batch_concurrency", "5"), ("usage_tracking", "false"), ("quality", "7"), ("other", "1")], "key string, value string"))
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation")

@@ -172,3 +172,24 @@ def test_daily_stream_equals_batch(spark, tmp_path):
     q = state.daily_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda b, i: (got.clear(), got.extend(b.collect()))).start()
     q.awaitTermination(120)
     assert {(r.day, r.provider, r.requests, r.output_tokens) for r in got} == {(r.day, r.provider, r.requests, r.output_tokens) for r in usage.daily(df).collect()}
+
+
+def test_layout_columns():
+    runs = [run("COLUMNS DEMO", 40, 60, 24, True)]
+    for i in range(10):
+        runs += [run(f"Left column line number {i} here", 40, 100 + i * 16), run(f"Right column line number {i}", 345, 100 + i * 16)]
+    page = layout.page_state(runs, 595, 842)
+    texts = [b["text"] for b in page["blocks"]]
+    assert "columns" in page["warnings"] and page["blocks"][0]["kind"] == "heading" and len(texts) == 3
+    assert texts[1].count("Left") == 10 and texts[2].count("Right") == 10
+    # three columns with gutters off the page's middle
+    three = [run(f"{word} col a b c {i}", x, 100 + i * 16) for i in range(10) for word, x in (("first", 30), ("second", 150), ("third", 420))]
+    assert [b["text"].split()[0] for b in layout.page_state(three, 595, 842)["blocks"]] == ["first", "second", "third"]
+
+
+def test_page_states():
+    image = {"x": 100.0, "y": 300.0, "right": 300.0, "bottom": 450.0}
+    assert layout.page_state([], 595, 842, images=[image])["requires_ocr"] and layout.page_state([], 595, 842)["warnings"] == ["empty"]
+    body = [run("Body text that fills the page with enough characters", 40, 100), run("to dominate the histogram over the caption words here.", 40, 116)]
+    page = layout.page_state([*body, run("A small sample diagram", 100, 468, 10)], 595, 842, images=[image], links=[{"x": 40.0, "y": 90.0, "right": 240.0, "bottom": 104.0, "url": "https://example.com/docs"}], rotation=90)
+    assert [b["kind"] for b in page["blocks"]] == ["paragraph", "caption"] and page["blocks"][0]["link"] == "https://example.com/docs" and page["warnings"] == ["rotated"]
