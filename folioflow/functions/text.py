@@ -27,15 +27,15 @@ SCRIPTS = {
 }
 #: Function words whose share names a language in Latin letters.
 STOPWORDS = {
-    "en": "the and for that with this from are was were have has not you but all any can her his they".split(),
-    "fr": "le la les des une est dans pour que qui avec sur pas plus leur aussi comme fait".split(),
-    "de": "der die das und ist nicht ein eine von mit für auch werden sich wird nach beim über".split(),
-    "es": "el los las una por con para está están como más pero este esta fue han del que".split(),
-    "pt": "os uma não por com mais dos das como mas foi são você isso ela entre após".split(),
-    "id": "yang dan di untuk dengan pada ini itu dari adalah tidak akan juga ada atau oleh".split(),
-    "vi": "của và các người này được cho có để không với những một đã ở khi".split(),
+    "en": ["the", "and", "for", "that", "with", "this", "from", "are", "was", "were", "have", "has", "not", "you", "but", "all", "any", "can", "her", "his", "they"],
+    "fr": ["le", "la", "les", "des", "une", "est", "dans", "pour", "que", "qui", "avec", "sur", "pas", "plus", "leur", "aussi", "comme", "fait"],
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "von", "mit", "für", "auch", "werden", "sich", "wird", "nach", "beim", "über"],
+    "es": ["el", "los", "las", "una", "por", "con", "para", "está", "están", "como", "más", "pero", "este", "esta", "fue", "han", "del", "que"],
+    "pt": ["os", "uma", "não", "por", "com", "mais", "dos", "das", "como", "mas", "foi", "são", "você", "isso", "ela", "entre", "após"],
+    "id": ["yang", "dan", "di", "untuk", "dengan", "pada", "ini", "itu", "dari", "adalah", "tidak", "akan", "juga", "ada", "atau", "oleh"],
+    "vi": ["của", "và", "các", "người", "này", "được", "cho", "có", "để", "không", "với", "những", "một", "đã", "ở", "khi"],
 }
-RUSSIAN = "и в не на что с по как это для от до из при они было его".split()
+RUSSIAN = ["и", "в", "не", "на", "что", "с", "по", "как", "это", "для", "от", "до", "из", "при", "они", "было", "его"]
 BURMESE = ["သည်", "၏", "ကို", "မှာ", "နှင့်", "ဖြင့်", "ဖြစ်", "ကြောင့်", "တွင်", "မှ", "အတွက်", "လည်း", "ပါ", "များ", "အား"]
 SIMPLIFIED, TRADITIONAL = "让说这来对时会过还没后发经头实", "讓說這來對時會過還沒後發經頭實"
 

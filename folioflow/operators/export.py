@@ -54,6 +54,18 @@ def markdown_lines(b: DataFrame) -> Column:
     )
 
 
+def html_table(cells: Column, text: Column) -> Column:
+    """A table of rows and cells, the first row as its head; the escaped text as one cell where there are none."""
+    none = F.array().cast("array<string>")
+
+    def row(r, tag):
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(F.coalesce(r, none), lambda c: F.concat(F.lit(f"<{tag}>"), T.escape_html(F.coalesce(c, F.lit(""))), F.lit(f"</{tag}>"))), ""), F.lit("</tr>\n"))
+
+    body = F.array_join(F.transform(F.slice(cells, 2, F.greatest(F.lit(0), F.size(cells) - 1)), lambda r: row(r, "td")), "")
+    full = F.concat(F.lit("<table>\n<thead>\n"), row(F.get(cells, F.lit(0)), "th"), F.lit("</thead>\n<tbody>\n"), body, F.lit("</tbody>\n</table>\n"))
+    return F.when(F.coalesce(F.size(cells), F.lit(0)) > 0, full).otherwise(F.concat(F.lit("<table>\n<tbody>\n<tr><td>"), text, F.lit("</td></tr>\n</tbody>\n</table>\n")))
+
+
 def html_lines(b: DataFrame) -> Column:
     """The HTML rendering of a block; lists open and close by their neighbours."""
     w = Window.partitionBy("document_id", "page_index").orderBy("order_index")
@@ -68,7 +80,7 @@ def html_lines(b: DataFrame) -> Column:
     h = F.col("heading").cast("string")
     return (
         F.when(h.isNotNull(), F.concat(F.lit("<h"), h, F.lit(">"), t, F.lit("</h"), h, F.lit(">\n")))
-        .when(F.col("is_table"), F.concat(F.lit("<pre>"), t, F.lit("</pre>\n")))
+        .when(F.col("is_table"), html_table(F.col("cells"), t))
         .when(tag.isNotNull(), F.concat(opens, F.lit("<li>"), content, F.lit("</li>\n"), shuts))
         .otherwise(F.concat(F.lit("<p"), style, F.lit(">"), content, F.lit("</p>\n")))
     )
@@ -78,12 +90,12 @@ def render(blocks: DataFrame, documents: DataFrame, kind: str) -> DataFrame:
     """(document_id, body): each document in one format: text, markdown or html.
 
     blocks: document_id, page_index, order_index, text, heading, is_table,
-    md_table, list_ordered, link, alignment. Blocks are joined in order, pages
+    md_table, cells (array<array<string>>), list_ordered, link, alignment. Blocks are joined in order, pages
     parted by the format's separator; documents without blocks keep their head.
     """
     lines = {"text": text_lines, "markdown": markdown_lines, "html": html_lines}[kind]
     between = {"text": "\f\n", "markdown": "\n---\n\n", "html": '<hr class="page">\n'}[kind]
-    b = numbered(blocks)
+    b = numbered(blocks if "cells" in blocks.columns else blocks.withColumn("cells", F.lit(None).cast(MEMBERS["cells"])))
     b = b.withColumn("line", lines(b))
     pages = b.groupBy("document_id", "page_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "line"))), lambda x: x["line"]), "").alias("page"))
     bodies = pages.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_index", "page"))), lambda x: x["page"]), between).alias("body"))
@@ -99,9 +111,17 @@ def render(blocks: DataFrame, documents: DataFrame, kind: str) -> DataFrame:
     return docs.join(bodies, "document_id", "left").select("document_id", (full if kind == "html" else F.regexp_replace(full, r"\n{3,}", "\n\n")).alias("body"))
 
 
+#: The members of a block in the envelope, with their types.
+MEMBERS = {
+    "order_index": "int", "page_index": "int", "kind": "string", "text": "string", "heading": "int", "list_ordered": "boolean", "link": "string", "alignment": "string", "flags": "array<string>",
+    "bbox": "struct<x:double,y:double,width:double,height:double>", "font": "struct<family:string,size:double,bold:boolean,italic:boolean>", "cells": "array<array<string>>",
+}
+
+
 def serialize(blocks: DataFrame, documents: DataFrame) -> DataFrame:
-    """(document_id, json): a versioned envelope of each document's pages and blocks."""
-    b = blocks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("order_index", "page_index", "text", "heading", "list_ordered", "link"))).alias("blocks"))
+    """(document_id, json): a versioned envelope of each document's pages and blocks; members of MEMBERS that blocks lacks are null."""
+    member = [(F.col(k) if k in blocks.columns else F.lit(None)).cast(t).alias(k) for k, t in MEMBERS.items()]
+    b = blocks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*member))).alias("blocks"))
     docs = documents.groupBy("document_id").agg(F.max("title").alias("title"), F.max("source_language").alias("source_language"), F.max("target_language").alias("target_language"))
     j = docs.join(b, "document_id", "left")
     return j.select("document_id", F.to_json(F.struct(F.lit("document-export").alias("format"), F.lit(1).alias("version"), "document_id", "title", "source_language", "target_language", F.coalesce("blocks", F.array().cast(dict(j.dtypes)["blocks"])).alias("blocks"))).alias("json"))
@@ -109,35 +129,74 @@ def serialize(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def restore(serialized: DataFrame) -> DataFrame:
     """Blocks from serialize()'s envelopes; malformed ones and other versions give no row."""
-    schema = "format string, version int, document_id string, blocks array<struct<order_index:int,page_index:int,text:string,heading:int,list_ordered:boolean,link:string>>"
-    x = serialized.select(F.from_json("json", schema).alias("d")).where("d.format = 'document-export' AND d.version = 1 AND d.document_id IS NOT NULL")
+    inner = ",".join(f"{k}:{t}" for k, t in MEMBERS.items())
+    x = serialized.select(F.from_json("json", f"format string, version int, document_id string, blocks array<struct<{inner}>>").alias("d")).where("d.format = 'document-export' AND d.version = 1 AND d.document_id IS NOT NULL")
     return x.select("d.document_id", F.explode("d.blocks").alias("b")).select("document_id", "b.*")
 
 
+def probe(files: DataFrame) -> DataFrame:
+    """(name, kind, valid): whether a rendered file is what it claims to be: JSON that parses, HTML with its tags, others not empty."""
+    body = F.col("body")
+    ok = F.when(F.col("kind") == "json", F.try_parse_json(body).isNotNull()).when(F.col("kind") == "html", F.contains(body, F.lit("<html")) & F.contains(body, F.lit("</html>"))).otherwise(F.length(body) > 0)
+    return files.select("name", "kind", (F.coalesce(F.length(body) > 0, F.lit(False)) & F.coalesce(ok, F.lit(False))).alias("valid"))
+
+
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
 def docx(blocks: list[dict]) -> bytes:
-    """A minimal DOCX file of a document's blocks."""
+    """A DOCX file of a document's blocks: headings, numbered and plain lists, tables, links, a page break before each later page."""
+    links: list[str] = []
 
-    def para(b):
-        style = f'<w:pPr><w:pStyle w:val="Heading{b["heading"]}"/></w:pPr>' if b["heading"] else ""
-        runs = "<w:br/>".join(f'<w:t xml:space="preserve">{escape(x, quote=False)}</w:t>' for x in (b["text"] or "").split("\n"))
-        return f"<w:p>{style}<w:r>{runs}</w:r></w:p>"
+    def runs(text):
+        return "<w:br/>".join(f'<w:t xml:space="preserve">{escape(x, quote=False)}</w:t>' for x in (text or "").split("\n"))
 
-    types = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
-    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
-    body = f"<w:document {_W}><w:body>{''.join(map(para, blocks))}</w:body></w:document>"
+    def para(b):
+        style = ""
+        if b.get("heading"):
+            style = f'<w:pPr><w:pStyle w:val="Heading{b["heading"]}"/></w:pPr>'
+        elif b.get("list_ordered") is not None:
+            style = f'<w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="{1 if b["list_ordered"] else 2}"/></w:numPr></w:pPr>'
+        run = f"<w:r>{runs(b['text'])}</w:r>"
+        if b.get("link"):
+            links.append(b["link"])
+            run = f'<w:hyperlink r:id="l{len(links)}">{run}</w:hyperlink>'
+        return f"<w:p>{style}{run}</w:p>"
+
+    def grid(b):
+        rows = ("".join(f"<w:tc><w:p><w:r>{runs(c)}</w:r></w:p></w:tc>" for c in r or [""]) for r in b["cells"])
+        return f"<w:tbl>{''.join(f'<w:tr>{r}</w:tr>' for r in rows)}</w:tbl>"
+
+    parts, page = [], None
+    for b in blocks:
+        if page is not None and b.get("page_index") is not None and b["page_index"] != page:
+            parts.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
+        page = b.get("page_index", page)
+        parts.append(grid(b) if b.get("is_table") and b.get("cells") else para(b))
+    base = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = "http://schemas.openxmlformats.org/package/2006/relationships"
+    level = lambda n, kind, mark: f'<w:abstractNum w:abstractNumId="{n}"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{mark}"/></w:lvl></w:abstractNum>'
+    files = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/word/document.xml" ContentType="{base}.document.main+xml"/><Override PartName="/word/numbering.xml" ContentType="{base}.numbering+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{rels}"><Relationship Id="r1" Type="{office}/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/document.xml": f'<w:document {_W} xmlns:r="{office}"><w:body>{"".join(parts)}</w:body></w:document>',
+        "word/numbering.xml": f'<w:numbering {_W}>{level(0, "decimal", "%1.")}{level(1, "bullet", "•")}<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num></w:numbering>',
+        "word/_rels/document.xml.rels": f'<Relationships xmlns="{rels}"><Relationship Id="n1" Type="{office}/numbering" Target="numbering.xml"/>'
+        + "".join(f'<Relationship Id="l{i}" Type="{office}/hyperlink" Target="{escape(u)}" TargetMode="External"/>' for i, u in enumerate(links, 1))
+        + "</Relationships>",
+    }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, part in (("[Content_Types].xml", types), ("_rels/.rels", rels), ("word/document.xml", body)):
+        for name, part in files.items():
             z.writestr(zipfile.ZipInfo(name), f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{part}')
     return out.getvalue()
 
 
 def render_docx(blocks: DataFrame) -> DataFrame:
     """(document_id, content): each document as a DOCX file."""
-    b = blocks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("order_index", "text", "heading"))).alias("bs"))
+    b = blocks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("order_index", *[c for c in ("page_index", "text", "heading", "list_ordered", "link", "is_table", "cells") if c in blocks.columns]))).alias("bs"))
 
     def make():
         return lambda ids, lists: [ids, [docx(x) for x in lists]]

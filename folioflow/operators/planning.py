@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.arrow import map_rows
 from folioflow.functions import text as T
+from folioflow.operators import translate
 
 #: Fixed values of the planner.
 MOST_UNITS, FRAME, UNIT_FRAME, RESERVE = 32, 16, 8, 512
@@ -44,17 +45,21 @@ def plan(tokens: list[int], chars: list[int], budget: int, output: int, per_char
 def plan_batches(units: DataFrame, context: int, output: int, quality: str = "standard", rpm: int | None = None) -> DataFrame:
     """(document_id, block_id, batch_no, oversized): batches of each document's units in order.
 
-    units: document_id, block_id, order_index, source_text, target, document.
-    Only ids, token counts and lengths are gathered by document, not texts.
+    units: document_id, block_id, order_index, source_text, source, target,
+    document. The tokens of the instructions (translate.instructions) leave the
+    window first. Only ids, token counts and lengths are gathered by document, not texts.
     """
-    rows = units.select("document_id", "target", "document", F.struct("order_index", "block_id", T.estimate_tokens(F.col("source_text")).alias("t"), F.length("source_text").alias("c")).alias("u"))
-    docs = rows.groupBy("document_id").agg(F.max("target").alias("target"), F.max("document").alias("document"), F.sort_array(F.collect_list("u")).alias("us"))
+    told = translate.message_tokens(translate.instructions(F.max("source"), F.max("target"), F.max("document")))
+    if "source" not in units.columns:  # an unknown language
+        units = units.withColumn("source", F.lit(None).cast("string"))
+    rows = units.select("document_id", "source", "target", "document", F.struct("order_index", "block_id", T.estimate_tokens(F.col("source_text")).alias("t"), F.length("source_text").alias("c")).alias("u"))
+    docs = rows.groupBy("document_id").agg(F.max("target").alias("target"), F.max("document").alias("document"), told.alias("told"), F.sort_array(F.collect_list("u")).alias("us"))
 
     def make():
-        def kernel(ids, targets, documents, lists):
+        def kernel(ids, targets, documents, overheads, lists):
             out = [[], [], [], []]
-            for i, target, document, us in zip(ids, targets, documents, lists):
-                b = payload_budget(context, output, target or "", document or "text", quality, rpm)
+            for i, target, document, overhead, us in zip(ids, targets, documents, overheads, lists):
+                b = payload_budget(context, output, target or "", document or "text", quality, rpm, overhead)
                 for u, (k, big) in zip(us, plan([x["t"] for x in us], [x["c"] for x in us], b, output, 1.6 if target == "my" else 0.5)):
                     for col, v in zip(out, (i, u["block_id"], k, big)):
                         col.append(v)
@@ -62,4 +67,4 @@ def plan_batches(units: DataFrame, context: int, output: int, quality: str = "st
 
         return kernel
 
-    return map_rows(docs.select("document_id", "target", "document", "us"), "document_id string, block_id string, batch_no int, oversized boolean", make)
+    return map_rows(docs.select("document_id", "target", "document", "told", "us"), "document_id string, block_id string, batch_no int, oversized boolean", make)

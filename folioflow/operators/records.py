@@ -99,3 +99,55 @@ def changes(log: DataFrame) -> DataFrame:
 def output_name(name: Column, language: Column, extension: str) -> Column:
     """report.pdf in language my as report-my.docx."""
     return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("-"), language, F.lit("." + extension))
+
+
+def import_bundle(raw: DataFrame, stores: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Every store with the bundle's records merged in by their key; later copies of a key in the bundle are arbitrary but one.
+
+    raw: store, record (JSON), as bundle() writes it. Stores that aren't known,
+    records that aren't JSON and records without a key are passed over.
+    """
+    out = {}
+    for name, (df, key) in stores.items():
+        got = raw.where(F.col("store") == name).select(F.from_json("record", df.schema).alias("r")).select("r.*").where(F.col(key).isNotNull())
+        plain = [c for c, t in got.dtypes if "map" not in t]
+        got = got.groupBy(key).agg(F.max(F.struct(*[c for c in plain if c != key])).alias("r")).select(key, "r.*")
+        out[name] = upsert(df, got.select(*df.columns), key)
+    return out
+
+
+def sync_status(queue: DataFrame, by: str) -> DataFrame:
+    """(by, pending, failed, last_done) of a push queue: state, updated_at."""
+    s = F.col("state")
+    return queue.groupBy(by).agg(F.count_if(s == "pending").alias("pending"), F.count_if(s == "failed").alias("failed"), F.max(F.when(s == "done", F.col("updated_at"))).alias("last_done"))
+
+
+def latest_artifacts(artifacts: DataFrame) -> DataFrame:
+    """(job_id, artifact_id): the newest ready artifact of each job; ties to the greater id."""
+    return artifacts.groupBy("job_id").agg(F.max(F.struct("at", "artifact_id")).alias("x")).select("job_id", "x.artifact_id")
+
+
+def prunable(artifacts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Artifacts whose job is missing, completed or cancelled."""
+    live = jobs.where(~F.col("state").isin("completed", "cancelled")).select("job_id")
+    return artifacts.join(live, "job_id", "left_anti")
+
+
+def actionable(link: Column) -> Column:
+    """Whether a link may be followed: web and mail addresses only."""
+    return F.coalesce(link, F.lit("")).rlike(r"^(?i:https?://|mailto:)")
+
+
+def jobs(df: DataFrame, project=None, states: list[str] | None = None) -> DataFrame:
+    """The jobs of a project and in some states; what is None doesn't restrict."""
+    if project is not None:
+        df = df.where(F.col("project_id") == project)
+    return df.where(F.col("state").isin(*states)) if states is not None else df
+
+
+def target_languages(wanted: DataFrame, first: str = "my") -> DataFrame:
+    """(target, rank): the languages asked for, once each, ``first`` before the others. A handful of rows is ranked in one task."""
+    from pyspark.sql import Window
+
+    few = wanted.where("target IS NOT NULL").distinct()
+    return few.select("target", F.row_number().over(Window.orderBy(F.col("target") != first, "target")).cast("bigint").alias("rank"))

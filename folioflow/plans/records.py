@@ -67,12 +67,6 @@ def catalog_overlay(spark, d):
     return records.overlay(n, patch, ("n_nationkey",), ("n_name", "n_regionkey"))
 
 
-@query()
-def glossary_checks(spark, d):
-    rows = [("r1", "p", "Key Pool", "x", None), ("r2", "p", " key  pool ", "y", None), ("r3", "p", "", "z", None), ("r4", "q", "key pool", "", "f" * 501)]
-    return records.glossary_errors(spark.createDataFrame(rows, "rule_id string, project_id string, source_term string, preferred string, forbidden string"))
-
-
 @query("SELECT 'nation' AS store, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def bundle_counts(spark, d):
     b = records.bundle({"nation": table(spark, d, "nation"), "region": table(spark, d, "region")})
@@ -135,12 +129,6 @@ def usage_cost(spark, d):
     return e.groupBy("provider").agg(F.sum(F.floor(c * 10_000 + F.lit(0.5))).cast("bigint").alias("cost_e4"))
 
 
-@query()
-def retry_hints(spark, d):
-    rows = [("30",), ("1.5",), ("1m30s",), ("250ms",), ("Wed, 21 Oct 2026 07:28:00 GMT",), ("soon",), (None,)]
-    return spark.createDataFrame(rows, "value string").select("value", responses.retry_after_ms(F.col("value"), F.lit(1_792_567_600_000)).alias("ms"))
-
-
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\x{1000}-\\x{109F}\\x{A9E0}-\\x{A9FF}\\x{AA60}-\\x{AA7F}]+|[^\\x{1000}-\\x{109F}\\x{A9E0}-\\x{A9FF}\\x{AA60}-\\x{AA7F}]+')) AS BIGINT) AS runs FROM documents WHERE text IS NOT NULL")
 def script_runs(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(responses.script_runs(F.col("text"))).cast("bigint").alias("runs"))

@@ -221,3 +221,14 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         return kernel
 
     return map_rows(docs.select("document_id", "format", "raw"), "document_id string, " + SCHEMA, make)
+
+
+#: Fixed value: bytes of a text file, at most.
+MOST_BYTES = 64 * 1024 * 1024
+
+
+def decode(files: DataFrame) -> DataFrame:
+    """The files with text and state: ok, too_large, or undecodable (null or not UTF-8); a byte order mark is dropped."""
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\ufeff", "")
+    big = F.length("content") > MOST_BYTES
+    return files.withColumn("state", F.when(big, "too_large").when(text.isNull(), "undecodable").otherwise("ok")).withColumn("text", F.when(~big, text))

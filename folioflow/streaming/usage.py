@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cooldowns in milliseconds.
-RATE_COOLDOWN, QUOTA_COOLDOWN, QUOTA_MOST, SERVER_COOLDOWN, SERVER_MOST, DEGRADED_AT = 5_000, 900_000, 21_600_000, 10_000, 300_000, 3
+#: Cooldowns in milliseconds (first, most), failures that degrade a key, window of quota hits, age and number of events kept.
+RATE, QUOTA, SERVER = (5_000, 300_000), (900_000, 21_600_000), (10_000, 300_000)
+DEGRADED_AT, WINDOW_MS, AGE_MS, KEPT = 3, 60_000, 600_000, 120
 
 
 def daily_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -20,60 +23,106 @@ def daily_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def advance(state: dict, at: int, outcome: str) -> dict:
-    """The state of a key after one outcome: ok, rate_limit, quota, server or auth."""
-    s = dict(state)
+START = {"health": "healthy", "cooldown_until": 0, "reason": None, "hits": 0, "requests": 0, "failed": 0, "events": ()}
+SCHEMA = "key_id string, health string, cooldown_until bigint, reason string, hits int, requests int, failed int"
+
+
+def backoff(attempt: int, bounds: tuple[int, int], u: float) -> int:
+    """Half of the doubled first wait, and ``u`` of the other half."""
+    most = min(bounds[1], bounds[0] * 2 ** min(max(0, attempt), 30))
+    return max(1, math.floor(most / 2 + u * most / 2 + 0.5))
+
+
+def advance(state: dict, at: int, outcome: str, retry_after: int | None = None, u: float = 0.5) -> dict:
+    """The state of a key after one outcome: ok, rate_limit, quota_exceeded, server_error, auth, or any other failure, which only counts.
+
+    A success heals. A rate limit cools by the number of limits so far or as
+    long as the provider says; a quota by the quota hits of the last minute; a
+    server error by the failures in a row, and degrades the key from the third
+    on; a rejected key is invalid at once and not cooled.
+    """
+    events = [e for e in (*state["events"], (at, outcome)) if e[0] >= at - AGE_MS][-KEPT:]
+    s = state | {"events": tuple(events), "requests": state["requests"] + 1}
     if outcome == "ok":
-        return {"failures": 0, "hits": 0, "cooldown_until": 0, "health": "healthy"}
-    s["failures"] += 1
+        return s | {"health": "healthy", "cooldown_until": 0, "reason": None}
+    s["failed"] += 1
+    row = next((i for i, e in enumerate(reversed(events)) if e[1] == "ok"), len(events))
+    wait = None
     if outcome == "rate_limit":
         s["hits"] += 1
-        s["cooldown_until"] = at + min(SERVER_MOST, RATE_COOLDOWN * 2 ** min(10, s["hits"] - 1))
-    elif outcome == "quota":
+        wait = max(retry_after or 0, backoff(min(s["hits"], 6), RATE, u))
+    elif outcome == "quota_exceeded":
         s["hits"] += 1
-        s["cooldown_until"] = at + min(QUOTA_MOST, QUOTA_COOLDOWN * 2 ** min(10, s["hits"] - 1))
-    elif outcome == "server":
-        s["cooldown_until"] = at + min(SERVER_MOST, SERVER_COOLDOWN * 2 ** min(10, s["failures"] - 1))
-    s["health"] = "invalid" if outcome == "auth" else "degraded" if s["failures"] >= DEGRADED_AT else s["health"]
+        again = sum(e[1] == "quota_exceeded" and e[0] >= at - WINDOW_MS for e in events)
+        wait = min(max(QUOTA[0] * 2 ** min(max(again - 1, 0), 4), retry_after or 0), QUOTA[1])
+    elif outcome == "server_error":
+        wait = backoff(min(row, 6), SERVER, u)
+        if row >= DEGRADED_AT:
+            s["health"] = "degraded"
+    elif outcome == "auth":
+        return s | {"health": "invalid", "cooldown_until": 0, "reason": "auth"}
+    if wait is not None:
+        s |= {"cooldown_until": at + wait, "reason": "quota" if outcome == "quota_exceeded" else outcome}
     return s
 
 
-START = {"failures": 0, "hits": 0, "cooldown_until": 0, "health": "healthy"}
-SCHEMA = "key_id string, failures int, hits int, cooldown_until bigint, health string"
-
-
-def key_health_batch(events: DataFrame) -> DataFrame:
-    """(key_id, failures, hits, cooldown_until, health): the fold of advance() over each key's (at_ms, id, outcome), in closed form.
+def key_health_batch(events: DataFrame, u: float = 0.5) -> DataFrame:
+    """The fold of advance() over each key's (at_ms, id, outcome, retry_after_ms), in closed form; u is the jitter.
 
-    Only what follows the last success counts; of that, numbers and last
-    events, so aggregations suffice and no key's events are gathered.
+    What set the cooldown is the last event that can; its waits follow from
+    counts up to it, so aggregations suffice and no key's events are sorted.
+    Failures in a row are counted in buckets of AGE_MS with the one before as
+    context, so that a hot key is many tasks. Of the quota hits of a minute
+    all count, also where more than KEPT events lie between. Null keys, times
+    and outcomes give no row.
     """
-    order = F.struct("at_ms", "id")
-    e = events.where("key_id IS NOT NULL").select("key_id", "at_ms", "id", "outcome", order.alias("o"))
-    last_ok = e.groupBy("key_id").agg(F.max(F.when(F.col("outcome") == "ok", F.col("o"))).alias("ok"))
-    bad = e.join(last_ok, "key_id").where("outcome <> 'ok' AND (ok IS NULL OR o > ok)")
-    hit = F.col("outcome").isin("rate_limit", "quota")
-    one = bad.groupBy("key_id").agg(
-        F.count("*").cast("int").alias("failures"), F.count_if(hit).cast("int").alias("hits"), F.max_by("outcome", "o").alias("last"), F.bool_or(F.col("outcome") == "auth").alias("any_auth"),
-        F.max(F.when(F.col("outcome") != "auth", F.struct("at_ms", "id", "outcome"))).alias("cool"),
+    c = F.col
+    e = events.where("key_id IS NOT NULL AND at_ms IS NOT NULL AND outcome IS NOT NULL").select("key_id", "at_ms", "id", "outcome", c("retry_after_ms").cast("bigint").alias("retry"), F.struct("at_ms", "id").alias("o"))
+    hit = c("outcome").isin("rate_limit", "quota_exceeded")
+    setter = c("outcome").isin("ok", "rate_limit", "quota_exceeded", "server_error", "auth")
+    keys = e.groupBy("key_id").agg(
+        F.max(F.when(c("outcome") == "ok", c("o"))).alias("ok"), F.max(F.when(setter, F.struct("o", "outcome", "retry"))).alias("last"), F.count_if(hit).cast("int").alias("hits"),
+        F.count("*").cast("int").alias("requests"), F.count_if(c("outcome") != "ok").cast("int").alias("failed"),
     )
-    upto = F.col("o") <= F.struct(F.col("cool.at_ms"), F.col("cool.id"))
-    two = bad.join(one.select("key_id", "cool"), "key_id").groupBy("key_id").agg(F.count_if(upto).alias("f"), F.count_if(upto & hit).alias("h"))
-    grown = lambda base, n, most: F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), F.least(F.lit(10), n - 1)))
-    wait = F.when(F.col("cool.outcome") == "rate_limit", grown(RATE_COOLDOWN, F.col("h"), SERVER_MOST)).when(F.col("cool.outcome") == "quota", grown(QUOTA_COOLDOWN, F.col("h"), QUOTA_MOST)).when(F.col("cool.outcome") == "server", grown(SERVER_COOLDOWN, F.col("f"), SERVER_MOST))
-    health = F.when(F.col("last") == "auth", "invalid").when(F.col("failures") >= DEGRADED_AT, "degraded").when(F.col("any_auth"), "invalid").otherwise("healthy")
-    j = last_ok.select("key_id").join(one, "key_id", "left").join(two, "key_id", "left")
-    return j.select("key_id", F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce((F.col("cool.at_ms") + wait).cast("bigint"), F.lit(0)).alias("cooldown_until"), health.alias("health"))
+    j = e.join(keys.select("key_id", "ok", "last"), "key_id")
+    since = c("ok").isNull() | (c("o") > c("ok"))
+    upto = c("o") <= c("last.o")
+    counts = j.groupBy("key_id").agg(
+        F.count_if(upto & hit).alias("n_hits"),
+        F.count_if(upto & (c("outcome") == "quota_exceeded") & (c("at_ms") >= c("last.o.at_ms") - WINDOW_MS)).alias("n_quota"),
+        F.count_if(upto & since & (c("outcome") != "ok") & (c("at_ms") >= c("last.o.at_ms") - AGE_MS)).alias("n_row"),
+        F.max(F.when(since & (c("outcome") == "auth"), c("o"))).alias("auth"),
+    )
+    # the last server error that came third in a row or later
+    bad = j.where(since & (c("outcome") != "ok")).select("key_id", "at_ms", "id", "o", "outcome", F.floor(c("at_ms") / AGE_MS).alias("b"))
+    near = bad.withColumn("b", F.explode(F.array(F.struct(c("b"), F.lit(True).alias("own")), F.struct((c("b") + 1).alias("b"), F.lit(False).alias("own")))))
+    w = Window.partitionBy("key_id", "b.b")
+    row = F.count("*").over(w.orderBy("at_ms").rangeBetween(-AGE_MS, 0)) - F.row_number().over(Window.partitionBy("key_id", "b.b", "at_ms").orderBy(F.desc("id"))) + 1
+    third = near.withColumn("row", row).where(c("b.own") & (c("outcome") == "server_error") & (c("row") >= DEGRADED_AT)).groupBy("key_id").agg(F.max("o").alias("degraded"))
+
+    def wait(n, bounds):
+        most = F.least(F.lit(float(bounds[1])), F.lit(float(bounds[0])) * F.pow(F.lit(2.0), F.least(n, F.lit(6))))
+        return F.greatest(F.lit(1), F.floor(most / 2 + F.lit(u) * most / 2 + F.lit(0.5)))
+
+    what, retry = c("last.outcome"), F.coalesce(c("last.retry"), F.lit(0))
+    cool = (
+        F.when(what == "rate_limit", F.greatest(retry, wait(c("n_hits"), RATE)))
+        .when(what == "quota_exceeded", F.least(F.greatest(F.lit(float(QUOTA[0])) * F.pow(F.lit(2.0), F.least(F.greatest(c("n_quota") - 1, F.lit(0)), F.lit(4))), retry), F.lit(QUOTA[1])))
+        .when(what == "server_error", wait(c("n_row"), SERVER))
+    )
+    health = F.when(c("auth").isNotNull() & (c("degraded").isNull() | (c("auth") > c("degraded"))), "invalid").when(c("degraded").isNotNull(), "degraded").otherwise("healthy")
+    reason = F.when(what == "quota_exceeded", "quota").when(what != "ok", what)
+    return keys.join(counts, "key_id").join(third, "key_id", "left").select("key_id", health.alias("health"), F.coalesce((c("last.o.at_ms") + cool).cast("bigint"), F.lit(0)).alias("cooldown_until"), reason.alias("reason"), "hits", "requests", "failed")
 
 
 def key_health_stream(events: DataFrame) -> DataFrame:
     """The same fold over a stream, a row for each key of each batch; for update mode."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = dict(zip(START, state.get)) if state.exists else START
+        s = json.loads(state.get[0]) if state.exists else dict(START)
         for e in pd.concat(list(batches)).sort_values(["at_ms", "id"]).itertuples():
-            s = advance(s, int(e.at_ms), e.outcome)
-        state.update(tuple(s.values()))
-        yield pd.DataFrame([{"key_id": key[0], **s}])
+            s = advance(s | {"events": tuple(map(tuple, s["events"]))}, int(e.at_ms), e.outcome, None if pd.isna(e.retry_after_ms) else int(e.retry_after_ms))
+        state.update((json.dumps(s),))
+        yield pd.DataFrame([{"key_id": key[0], **{k: v for k, v in s.items() if k != "events"}}])
 
-    return events.groupBy("key_id").applyInPandasWithState(step, SCHEMA, "failures int, hits int, cooldown_until bigint, health string", "update", "NoTimeout")
+    return events.groupBy("key_id").applyInPandasWithState(step, SCHEMA, "state string", "update", "NoTimeout")

@@ -73,13 +73,26 @@ def ship(spark: SparkSession) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the cluster's shared checkpoint folder.
 
-    The folder is that of ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a folder of the driver's machine is used. Runs an action.
+    The folder is that of ``spark.checkpoint.dir``; only in local mode, where
+    that is unset as in tests, a folder of the driver's machine is used. On a
+    cluster without it there is none that all executors see: RuntimeError.
+    Spark removes a checkpoint with its DataFrame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set. Runs an action.
     """
     import tempfile
 
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_shared(spark) or tempfile.mkdtemp(prefix="folioflow-"))
+        folder = _shared(spark)
+        if folder is None:
+            if not is_local(sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+            folder = tempfile.mkdtemp(prefix="folioflow-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def is_local(master: str) -> bool:
+    """Whether a session runs in the driver's own process."""
+    return master == "local" or master.startswith("local[")

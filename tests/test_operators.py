@@ -1,4 +1,7 @@
+import io
 import random
+import zipfile
+from xml.etree import ElementTree
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -99,6 +102,19 @@ def test_docx_round_trip():
     assert [(b["kind"], b["text"], b["level"]) for b in got] == [("heading", "A title", 1), ("paragraph", "First & <second>\nline", None)]
 
 
+def test_docx_parts():
+    blocks = [
+        {"text": "one", "heading": None, "list_ordered": True, "page_index": 0}, {"text": "two", "heading": None, "list_ordered": False, "page_index": 0}, {"text": "see", "heading": None, "link": "https://example.com/?a=1&b=2", "page_index": 0},
+        {"text": "t", "heading": None, "is_table": True, "cells": [["a", "b & c"], None], "page_index": 1},
+    ]
+    z = zipfile.ZipFile(io.BytesIO(export.docx(blocks)))
+    body = z.read("word/document.xml").decode()
+    assert body.count("<w:numPr>") == 2 and "<w:tbl><w:tr><w:tc>" in body and "b &amp; c" in body and 'w:type="page"' in body and "<w:hyperlink" in body
+    assert "https://example.com/?a=1&amp;b=2" in z.read("word/_rels/document.xml.rels").decode()
+    for name in z.namelist():
+        ElementTree.fromstring(z.read(name))
+
+
 def run(text, x, y, size=12.0, bold=False):
     return {"text": text, "x": float(x), "y": float(y) - 0.8 * size, "width": len(text) * size * 0.5, "height": size, "font_size": size, "font_key": "b" if bold else "r", "bold": bold}
 
@@ -139,29 +155,62 @@ def test_render(spark):
     assert "1. a\n2. b\n<x>" in md["d"] and "---\n\n- c" in md["d"] and md["e"].startswith("# ")
     html = export.render(b, docs, "html").where("document_id = 'd'").first().body
     assert "<ol>\n<li>a</li>\n<li>b</li>\n</ol>" in html and "&lt;x&gt;" in html
+    t = b.where("order_index = 4").withColumn("is_table", F.lit(True)).withColumn("cells", F.expr("array(array('h', '<i>'), array('1', null))"))
+    assert "<thead>\n<tr><th>h</th><th>&lt;i&gt;</th></tr>\n</thead>\n<tbody>\n<tr><td>1</td><td></td></tr>\n</tbody>" in export.render(t, docs, "html").where("document_id = 'd'").first().body
+    back = export.restore(export.serialize(t, docs.withColumn("source_language", F.lit("de")))).first()
+    assert back.cells == [["h", "<i>"], ["1", None]] and back.alignment == "left" and back.bbox is None
+    files = spark.createDataFrame([("a", "json", "{\"x\": 1}"), ("b", "json", "{"), ("c", "html", "<html></html>"), ("d", "html", "<html>"), ("e", "text", ""), ("f", "text", None)], "name string, kind string, body string")
+    assert {r.name for r in export.probe(files).where("valid").collect()} == {"a", "c"}
 
 
 def test_errors_and_states(spark):
     df = spark.createDataFrame([(429, "Rate limit: too many requests per minute", None), (429, "exceeded your current quota", None), (404, "x", None), (None, "Unauthorized", None)], "s int, m string, p string")
     assert [r[0] for r in df.select(usage.classify_error(F.col("s"), F.col("m"), F.col("p"))).collect()] == ["rate_limit", "quota_exceeded", "invalid_model", "auth"]
+
+
+def fold(*outcomes, **more):
     s = state.START
-    for at, o in enumerate(("server", "server", "server")):
-        s = state.advance(s, at, o)
-    assert s["health"] == "degraded" and s["cooldown_until"] == 2 + 40_000 and state.advance(s, 9, "ok") == state.START
+    for at, o in outcomes:
+        s = state.advance(s, at, o, **more)
+    return s
+
+
+def test_key_rules():
+    third = fold((0, "server_error"), (1, "server_error"), (2, "server_error"))
+    assert third["health"] == "degraded" and third["cooldown_until"] == 2 + 60_000  # three quarters of 10 s doubled three times
+    healed = state.advance(third, 9, "ok")
+    assert (healed["health"], healed["cooldown_until"], healed["reason"]) == ("healthy", 0, None)
+    assert fold((0, "rate_limit"))["cooldown_until"] == 7_500 and fold((0, "rate_limit"), retry_after=60_000)["cooldown_until"] == 60_000
+    bad = fold((0, "rate_limit"), (1, "auth"))
+    assert (bad["health"], bad["cooldown_until"], bad["reason"]) == ("invalid", 0, "auth")
+    assert fold(*((i * 100_000_000, "quota_exceeded") for i in range(3)))["cooldown_until"] == 200_000_000 + 900_000
+    assert fold(*((i * 1_000, "quota_exceeded") for i in range(9)))["cooldown_until"] == 8_000 + 900_000 * 16
+    waits = fold((0, "timeout"), (1, "timeout"), (2, "timeout"))
+    assert (waits["health"], waits["failed"], waits["cooldown_until"]) == ("healthy", 3, 0)
 
 
 def test_stream_equals_batch(spark, tmp_path):
     random.seed(2)
-    rows = [(f"k{random.randrange(4)}", i, f"e{i:04}", random.choice(["ok", "rate_limit", "quota", "server", "auth"])) for i in range(200)]
-    df = spark.createDataFrame(rows, "key_id string, at_ms bigint, id string, outcome string")
+    kinds = ["ok", "rate_limit", "quota_exceeded", "server_error", "server_error", "auth", "timeout"]
+    rows = [(f"k{random.randrange(4)}", i * random.choice([1, 7_000]) if i % 3 else i * 7_000, f"e{i:04}", random.choice(kinds), random.choice([None, 40_000])) for i in range(300)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    df = spark.createDataFrame(rows, "key_id string, at_ms bigint, id string, outcome string, retry_after_ms bigint")
     for part in range(4):  # a file a batch, in the order of time
-        df.where(f"at_ms >= {part * 50} AND at_ms < {part * 50 + 50}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(rows[part * 75 : part * 75 + 75], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
     out = []
     q = state.key_health_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda b, i: out.extend(b.collect())).start()
     q.awaitTermination(120)
     last = {r.key_id: tuple(r) for r in out}
     assert last == {r.key_id: tuple(r) for r in state.key_health_batch(df).collect()}
+    assert state.key_health_batch(df.limit(0)).count() == 0
+
+
+def test_pool_exhaustion(spark):
+    now = 1_000
+    rows = [("a", "k1", "disabled", 0, None), ("b", "k2", "cooling", 5_000, "quota"), ("b", "k3", "cooling", 6_000, "quota"), ("c", "k4", "cooling", 5_000, "quota"), ("c", "k5", "rpm_exhausted", 0, None), ("d", "k6", "verification_failed", 0, None), ("e", "k7", None, 0, None), ("f", "k8", "verification_failed", 0, None), ("f", "k9", "cooling", 5_000, "quota")]
+    df = spark.createDataFrame(rows, "provider string, key_id string, rejection string, cooldown_until bigint, cooldown_reason string").withColumn("now_ms", F.lit(now))
+    assert {r.provider: r.exhaustion for r in usage.exhaustion(df).collect()} == {"a": "no_keys", "b": "quota", "c": "rate_limited", "d": "invalid", "e": "none", "f": "none"}
 
 
 def test_daily_stream_equals_batch(spark, tmp_path):

@@ -43,7 +43,7 @@ def _compared(spark, folder, name):
 def test_numbers_of_all_scripts(spark, tmp_path):
     rows = [(1, "3နာရီ နှင့် ၄"), (2, "“12,5” – 7é x8"), (3, "a 1.2 b"), (4, "no digit"), (5, "第3章")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert _compared(spark, tmp_path, "number_tokens_all") == {(1, 1, "3"), (2, 2, "12,5;7"), (3, 1, "1.2"), (5, 1, "3")}
+    assert _compared(spark, tmp_path, "number_tokens") == {(1, 1, "3"), (2, 2, "12,5;7"), (3, 1, "1.2"), (5, 1, "3")}
 
 
 def test_empty_warnings_of_all_scripts(spark, tmp_path):
@@ -52,11 +52,11 @@ def test_empty_warnings_of_all_scripts(spark, tmp_path):
     b = spark.createDataFrame(rows, "block_id string, source_text string, translated_text string, unit_status string").selectExpr("*", "'d' AS document_id", "'p' AS project_id", f"{at} AS updated_at", f"{at} AS ingested_at")
     b.write.parquet(str(tmp_path / "export_block.parquet"))
     spark.createDataFrame([("d", "en", "my")], "document_id string, source_language string, target_language string").write.parquet(str(tmp_path / "export_document.parquet"))
-    assert _compared(spark, tmp_path, "empty_warning_counts_all") == {("missing_text", 2), ("unexpected_empty", 1)}
+    assert _compared(spark, tmp_path, "empty_warning_counts") == {("missing_text", 2), ("unexpected_empty", 1)}
 
 
 def test_sample_prefix_of_the_whole_bound(spark, tmp_path):
     at = "TIMESTAMP '2026-01-01 00:00:00'"
     b = spark.range(4).selectExpr("concat('b', id) AS block_id", "'d' AS document_id", "'p' AS project_id", "CAST(id AS INT) AS order_index", "repeat('é', IF(id = 0, 2500, 24000)) AS source_text", f"{at} AS updated_at", f"{at} AS ingested_at")
     b.write.parquet(str(tmp_path / "export_block.parquet"))
-    assert _compared(spark, tmp_path, "sample_prefix_50k") == {("b0", 0), ("b1", 2500), ("b2", 26500)}
+    assert _compared(spark, tmp_path, "sample_prefix") == {("b0", 0), ("b1", 2500), ("b2", 26500)}
