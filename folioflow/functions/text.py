@@ -123,13 +123,19 @@ def code_tokens(c: Column) -> Column:
 
 
 def missing_from(left: Column, right: Column) -> Column:
-    """Multiset difference without regard to case, each distinct token once, in order of first loss."""
+    """Multiset difference without regard to case, each distinct token once, in order of first loss.
+
+    Both sides should be columns of their own, as they are used several times.
+    Sides that are equal but for order, the usual case, are compared sorted;
+    only others are counted token by token.
+    """
     low_left, low_right = F.transform(left, lambda x: F.lower(x)), F.transform(right, lambda x: F.lower(x))
     lost = F.filter(
         F.transform(left, lambda x, i: F.struct(x.alias("t"), i.alias("i"))),
         lambda s: F.size(F.filter(F.slice(low_left, F.lit(1), s["i"] + 1), lambda y: y == F.lower(s["t"]))) > F.size(F.filter(low_right, lambda y: y == F.lower(s["t"]))),
     )
-    return F.array_distinct(F.transform(lost, lambda s: s["t"]))
+    same = F.sort_array(low_left) == F.sort_array(low_right)
+    return F.when(same | (F.size(left) == 0), F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(lost, lambda s: s["t"])))
 
 
 def structure(c: Column) -> dict[str, Column]:

@@ -14,21 +14,25 @@ def _warn(code: str, when: Column, detail: Column | None = None) -> Column:
     return F.when(when, F.struct(F.lit(code).alias("code"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail")))
 
 
-def unit_warnings(source: Column, answer: Column, differ: Column) -> Column:
+#: What must survive a translation, by the finding's code.
+KEPT = {"numbers_changed": lambda c: T.extract(c, T.NUMBER), "units_changed": lambda c: T.extract(c, T.MEASURE), "urls_changed": T.urls, "code_changed": T.code_tokens}
+
+
+def unit_warnings(source: Column, answer: Column, differ: Column, kept: dict[str, tuple[Column, Column]] | None = None) -> Column:
     """Array of struct(code, detail) of a finished pair, in a fixed order.
 
     A null answer gives missing_text alone, a blank one unexpected_empty
-    alone; differ says whether the two languages do.
+    alone; differ says whether the two languages do. kept has the tokens of
+    both sides by code, where they are columns already.
     """
-    lost = lambda f: T.missing_from(f(source), f(answer))
-    numbers, measures = lost(lambda c: T.extract(c, T.NUMBER)), lost(lambda c: T.extract(c, T.MEASURE))
-    urls, code = lost(T.urls), lost(T.code_tokens)
+    kept = kept or {k: (f(source), f(answer)) for k, f in KEPT.items()}
+    lost = {k: T.missing_from(a, b) for k, (a, b) in kept.items()}
     a, b = T.structure(source), T.structure(answer)
     shape = F.concat_ws(", ", *[F.when(a[k] != b[k], F.concat(F.lit(k + " "), a[k].cast("string"), F.lit(" → "), b[k].cast("string"))) for k in a])
     joined = lambda x: F.array_join(x, ", ")
     every = F.array(
         _warn("untranslated", differ & T.is_prose(source) & (T.normalize_for_match(source) == T.normalize_for_match(answer))),
-        *[_warn(code_, F.size(x) > 0, joined(x)) for code_, x in (("numbers_changed", numbers), ("units_changed", measures), ("urls_changed", urls), ("code_changed", code))],
+        *[_warn(code, F.size(x) > 0, joined(x)) for code, x in lost.items()],
         _warn("structure_mismatch", shape != "", shape),
     )
     return (
@@ -40,7 +44,12 @@ def unit_warnings(source: Column, answer: Column, differ: Column) -> Column:
 
 def warnings(u: DataFrame) -> DataFrame:
     """(block_id, document_id, code, detail): findings of finished units; u has source_text, translated_text, unit_status, differ."""
-    w = u.where(is_done()).select("block_id", "document_id", F.explode(unit_warnings(F.col("source_text"), F.col("translated_text"), F.coalesce("differ", F.lit(True)))).alias("w"))
+    done = u.where(is_done()).select("block_id", "document_id", "source_text", "translated_text", "differ")
+    sides = (("source_text", "_a"), ("translated_text", "_b"))
+    # the tokens are columns of their own, so that each text is searched once for each kind
+    done = done.select("*", *[f(F.col(c)).alias(f"{k}{s}") for k, f in KEPT.items() for c, s in sides])
+    kept = {k: (F.col(f"{k}_a"), F.col(f"{k}_b")) for k in KEPT}
+    w = done.select("block_id", "document_id", F.explode(unit_warnings(F.col("source_text"), F.col("translated_text"), F.coalesce("differ", F.lit(True)), kept)).alias("w"))
     return w.select("block_id", "document_id", "w.code", "w.detail")
 
 

@@ -101,6 +101,8 @@ def stopword_tokens(spark, d):
 def detect_language(spark, d):
     from folioflow.functions.language import detect
 
+    ship(spark)
+
     return detect(_docs(spark, d), "doc_id")
 
 
