@@ -10,6 +10,7 @@ divided if the corpus has it joined rather than hyphenated.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +40,21 @@ RATIO, FREQUENT, ODDS = 8, 4, 30.0
 SMALL = 0.95
 
 
+PARTS = re.compile(r"[\s—–]+|(?<=[^\W\d_])['’](?=\w)")
+
+
+@lru_cache(maxsize=200_000)
+def word_of(raw: str) -> str | None:
+    """The word of a run between spaces, in lower case and without the punctuation around it; None for numbers and addresses."""
+    if ADDRESS.search(raw):
+        return None
+    w = raw.lstrip(LEAD).rstrip(TRAIL).lower()
+    return w if len(w) >= 2 and any(c.isalpha() for c in w) else None
+
+
 def words_of(text: str) -> list[str]:
-    """The words of a line in lower case, without the punctuation around them; no numbers and addresses."""
-    out = []
-    for raw in re.split(r"[\s—–]+|(?<=[^\W\d_])['’](?=\w)", text):
-        if ADDRESS.search(raw):
-            continue
-        w = raw.lstrip(LEAD).rstrip(TRAIL).lower()
-        if len(w) >= 2 and any(c.isalpha() for c in w):
-            out.append(w)
-    return out
+    """The words of a line."""
+    return [w for raw in PARTS.split(text) if (w := word_of(raw))]
 
 
 def looks_numeric(text: str) -> bool:
@@ -102,9 +108,12 @@ def furniture(pages: DataFrame) -> DataFrame:
     edge = map_rows(
         pages.where("is_edge").select("line_id", "document_id", "page_index", "is_top", F.round("y").alias("y"), "text"), "line_id string, document_id string, page_index int, is_top boolean, y double, number boolean", make
     )
-    place = edge.where("NOT number").groupBy("is_top", "y").agg(F.approx_count_distinct("document_id").alias("docs"))
     own = edge.where("NOT number").groupBy("document_id", "is_top", "y").agg(F.countDistinct("page_index").alias("pages"))
-    heads = edge.where("NOT number").join(own, ["document_id", "is_top", "y"]).join(place, ["is_top", "y"]).where("pages >= 2 OR docs >= 2")
+    place = own.groupBy("is_top", "y").agg(F.count("*").alias("docs")).where("docs >= 2").select("is_top", "y", F.lit(True).alias("shared"))
+    seen = edge.where("NOT number").join(own, ["document_id", "is_top", "y"])
+    # few heights, so the join of what is left is a small table's
+    once = seen.where("pages < 2").join(place, ["is_top", "y"], "left_semi")
+    heads = seen.where("pages >= 2").select("line_id").unionByName(once.select("line_id"))
     return edge.where("number").select("line_id", F.lit("page_number").alias("defect")).unionByName(heads.select("line_id", F.lit("running_header").alias("defect")))
 
 
@@ -127,12 +136,12 @@ def tokens(body: DataFrame) -> DataFrame:
                 for col, v in zip(out, row):
                     col.append(v)
 
-            for i, t, n, ni, p in zip(line, text, nxt, next_id, prev):
+            for i, t, nxt_, ni, p in zip(line, text, nxt, next_id, prev):
                 a, b = 0, len(t)
                 if p and LINE_END.search(p) and (m := FIRST.match(t)):
                     a = m.end()
-                m = LINE_END.search(t) if n else None
-                if m and (f := FIRST.match(n)):
+                m = LINE_END.search(t) if nxt_ else None
+                if m and (f := FIRST.match(nxt_)):
                     b = max(a, m.start())
                     left = m.group(1).lstrip(LEAD).lower()
                     left = re.split(r"(?<=[^\W\d_])['’]", left)[-1]
@@ -143,8 +152,10 @@ def tokens(body: DataFrame) -> DataFrame:
                         emit(i, f"{left}-{right}", "hyphenated", len(left), ni, mark)
                         emit(i, left, "left", len(left), ni, mark)
                         emit(i, right, "right", len(left), ni, mark)
-                for word in words_of(t[a:b]):
-                    emit(i, word, "word", None, None, None)
+                found = words_of(t[a:b])
+                n = len(found)
+                for col, values in zip(out, ([i] * n, found, ["word"] * n, [None] * n, [None] * n, [None] * n)):
+                    col.extend(values)
             return out
 
         return kernel
@@ -167,6 +178,10 @@ def corrections(counts: DataFrame) -> DataFrame:
 
     counts: word, n. Up to three confusions are undone; a candidate ranks by
     its frequency, divided by ODDS for each confusion, ties to the smaller word.
+    A word is tried only as far as a candidate could still count: not if it is
+    too frequent for any, and with more confusions only if the most frequent
+    candidate there is would outrank what fewer have found. Settles the words
+    that are tried.
     """
     table = F.array(
         *[
@@ -176,19 +191,25 @@ def corrections(counts: DataFrame) -> DataFrame:
     )
     hashed = counts.where("length(word) BETWEEN 2 AND 60").withColumn("h", anagram(F.col("word")))
     good = hashed.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")).select(F.col("word").alias("correction"), F.col("n").alias("n_correction"), "h")
-    level = hashed.select("word", "n", "h", F.lit(-1).alias("last"), F.lit(0).alias("cost"))
-    levels = []
+    top = good.agg(F.max("n_correction")).first()[0] or 0
+    # the confusions that a word can have had are found once
+    tried = settle(hashed.where(F.col("n") * RATIO <= top).withColumn("can", F.filter(table, lambda x: F.instr(F.col("word"), x["w"]) > 0)).where("size(can) > 0").select("word", "n", "h", F.transform("can", lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"), x["cost"].alias("cost"))).alias("can")))
+    best = None
     for k in (1, 2, 3):
-        level = level.withColumn("c", F.explode(F.filter(table, lambda x: (F.instr(F.col("word"), x["w"]) > 0) & (x["i"] >= F.col("last"))))).select(
-            "word", "n", (F.col("h") + F.col("c.d")).alias("h"), F.col("c.i").alias("last"), (F.col("cost") + F.col("c.cost")).alias("cost")
+        level = tried
+        if best is not None:
+            level = level.join(best.select("word", "s"), "word", "left").where(F.col("s").isNull() | (F.lit(top / ODDS**k) >= F.col("s"))).drop("s")
+        level = level.withColumn("last", F.lit(-1)).withColumn("cost", F.lit(0))
+        for _ in range(k):
+            level = level.withColumn("c", F.explode(F.filter("can", lambda x: x["i"] >= F.col("last")))).select("word", "n", (F.col("h") + F.col("c.d")).alias("h"), "can", F.col("c.i").alias("last"), (F.col("cost") + F.col("c.cost")).alias("cost"))
+        hit = level.select("word", "n", "h", "cost").join(good, "h").where(
+            (F.col("n_correction") >= RATIO * F.col("n")) & (F.col("word") != F.col("correction")) & (F.levenshtein("word", "correction") <= F.col("cost")) & (F.length("correction") > k)
         )
-        levels.append(level.select("word", "n", "h", "cost", F.lit(k).alias("k")))
-    tried = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("word", "n", "h").agg(F.min("k").alias("k"), F.min("cost").alias("cost"))
-    hit = tried.join(good, "h").where(
-        (F.col("n_correction") >= RATIO * F.col("n")) & (F.col("word") != F.col("correction")) & (F.levenshtein("word", "correction") <= F.col("cost")) & (F.length("correction") > F.col("k"))
-    )
-    score = F.struct((F.col("n_correction") / F.pow(F.lit(ODDS), F.col("k"))).alias("s"), F.col("correction"))
-    return hit.groupBy("word").agg(F.max_by(F.struct("correction", "n", "n_correction"), score).alias("b")).select("word", "b.*")
+        score = (F.col("n_correction") / F.lit(ODDS**k)).alias("s")
+        found = hit.select("word", score, "correction", "n", "n_correction")
+        both = found if best is None else found.unionByName(best)
+        best = settle(both.groupBy("word").agg(F.max_by(F.struct("correction", "n", "n_correction", "s"), F.struct("s", "correction")).alias("b")).select("word", "b.*"))
+    return best.select("word", "correction", "n", "n_correction")
 
 
 def repairs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
