@@ -151,3 +151,68 @@ def target_languages(wanted: DataFrame, first: str = "my") -> DataFrame:
 
     few = wanted.where("target IS NOT NULL").distinct()
     return few.select("target", F.row_number().over(Window.orderBy(F.col("target") != first, "target")).cast("bigint").alias("rank"))
+
+
+#: Fixed value: names of members that are secret.
+SECRET_NAME = r"(?i)key|token|secret|password|passphrase|credential|authorization"
+
+
+def deep_redact(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, record): JSON records with secret members replaced, credentials in texts redacted, and nothing deeper than six levels.
+
+    Text that is no JSON is redacted as text; null stays null.
+    """
+    import json
+    import re
+
+    from folioflow.arrow import map_rows
+
+    def make():
+        secret = re.compile(SECRET_NAME)
+        wordings = [re.compile(p) for p in T.SECRETS]
+
+        def plain(text):
+            for rx in wordings:
+                text = rx.sub("[redacted]", text)
+            return text
+
+        def walk(v, depth):
+            if depth > 6:
+                return "[depth-limit]"
+            if isinstance(v, str):
+                return plain(v)
+            if isinstance(v, list):
+                return [walk(x, depth + 1) for x in v]
+            if isinstance(v, dict):
+                return {k: "[redacted]" if secret.search(k) else walk(x, depth + 1) for k, x in v.items()}
+            return v
+
+        def one(text):
+            if text is None:
+                return None
+            try:
+                return json.dumps(walk(json.loads(text), 0), ensure_ascii=False)
+            except ValueError:
+                return plain(text)
+
+        return lambda keys, texts: [keys, list(map(one, texts))]
+
+    return map_rows(df.select(key, column), f"{key} {dict(df.dtypes)[key]}, record string", make)
+
+
+def overlay_errors(patches: DataFrame, catalog: DataFrame, keys: tuple[str, ...], allowed: dict[str, list[str]]) -> DataFrame:
+    """(keys…, error): patches of unknown entries, and members whose value isn't allowed."""
+    known = catalog.select(*keys).distinct().withColumn("_known", F.lit(True))
+    p = patches.join(known, list(keys), "left")
+    wrong = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*v), F.lit(f"{c} not allowed")) for c, v in allowed.items()]
+    return p.select(*keys, F.explode(F.array_compact(F.array(F.when(F.col("_known").isNull(), F.lit("unknown entry")), *wrong))).alias("error"))
+
+
+def orphans(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """The rows whose owner is gone."""
+    return rows.join(owners.select(key).distinct(), key, "left_anti")
+
+
+def newest_log(log: DataFrame, most: int) -> DataFrame:
+    """The newest entries of a log of (at, id, …), newest first, ties to the smaller id."""
+    return log.orderBy(F.desc("at"), "id").limit(most)

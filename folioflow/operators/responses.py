@@ -64,3 +64,36 @@ def format_bytes(n: Column) -> Column:
 def script_runs(text: Column) -> Column:
     """Maximal runs of Burmese and of other characters."""
     return F.regexp_extract_all(text, F.lit(r"[\x{1000}-\x{109F}\x{A9E0}-\x{A9FF}\x{AA60}-\x{AA7F}]+|[^\x{1000}-\x{109F}\x{A9E0}-\x{A9FF}\x{AA60}-\x{AA7F}]+"), F.lit(0))
+
+
+#: Headers that tell a pool's limits, by the hint's name.
+LIMIT_HEADERS = {"limit_rpm": "x-ratelimit-limit-requests", "remaining_requests": "x-ratelimit-remaining-requests", "limit_tpm": "x-ratelimit-limit-tokens", "remaining_tokens": "x-ratelimit-remaining-tokens"}
+
+
+def reset_ms(value: Column, now_ms: Column) -> Column:
+    """When a limit resets, in milliseconds since 1970: a compact duration (1h2m3s), seconds, a time in seconds, or a date; null for others."""
+    v = F.trim(value)
+    part = lambda unit: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(v, rf"(\d+){unit}", 1), F.lit("")), F.lit("999999999")).cast("bigint"), F.lit(0))
+    compact = v.rlike(r"^(?:\d+h)?(?:\d+m)?(?:\d+s?)?$") & v.rlike(r"\d[hms]")
+    tail = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(v, r"(\d+)s?$", 1), F.lit("")), F.lit("999999999")).cast("bigint"), F.lit(0))
+    number = F.when(v.rlike(r"^\d+(\.\d+)?$"), v.cast("double"))
+    date = F.coalesce(F.unix_millis(F.try_to_timestamp(v)), F.unix_millis(F.try_to_timestamp(F.regexp_replace(v, r"^\w+, ", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))))
+    return (
+        F.when(compact, now_ms + part("h") * 3_600_000 + part("m") * 60_000 + tail * 1000)
+        .when(number > 1_000_000_000, (number * 1000).cast("bigint"))
+        .when(number.isNotNull(), (now_ms + number * 1000).cast("bigint"))
+        .otherwise(date)
+    )
+
+
+def rate_hints(headers: Column, now_ms: Column) -> Column:
+    """struct(retry_after_ms, limit_rpm, remaining_requests, limit_tpm, remaining_tokens) from a map of lower-case headers; what they don't say is null."""
+    at = F.coalesce(reset_ms(headers["x-ratelimit-reset-requests"], now_ms), reset_ms(headers["x-ratelimit-reset"], now_ms))
+    wait = F.coalesce(retry_after_ms(headers["retry-after"], now_ms), F.when(at.isNotNull(), F.greatest(F.lit(0), at - now_ms)))
+    numbers = [F.when(F.trim(headers[h]).rlike(r"^-?\d+(\.\d+)?$"), F.trim(headers[h]).cast("double")).alias(k) for k, h in LIMIT_HEADERS.items()]
+    return F.struct(wait.cast("bigint").alias("retry_after_ms"), *numbers)
+
+
+def missing_glyphs(text: Column, covered: str) -> Column:
+    """The distinct characters that a font with the class ``covered`` lacks, in order of first use; white space is never missing."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^{covered}\s]"), F.lit(0)))

@@ -111,3 +111,18 @@ def resume_at(units: DataFrame) -> DataFrame:
     """(document_id, furthest, left): the last finished unit of each document and how many wait."""
     done = F.col("unit_status").isin("translated", "reviewed")
     return units.groupBy("document_id").agg(F.max(F.when(done, F.col("order_index"))).alias("furthest"), F.count_if(~F.coalesce(done, F.lit(False))).alias("left"))
+
+
+#: The type of a document by its file name's end.
+TYPES = {".docx": "docx", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".csv": "csv", ".json": "json"}
+
+
+def document_type(kind: Column, file_name: Column) -> Column:
+    """pdf by its kind, others by the file name's end, text where that says nothing."""
+    name = F.lower(F.coalesce(file_name, F.lit("")))
+    return F.when(kind == "pdf", "pdf").otherwise(F.coalesce(*[F.when(F.endswith(name, F.lit(end)), F.lit(v)) for end, v in TYPES.items()], F.lit("text")))
+
+
+def document_title(title: Column, file_name: Column) -> Column:
+    """The title, or the file name where there is none."""
+    return F.coalesce(F.when(T.trim(title) != "", T.trim(title)), file_name)

@@ -499,12 +499,12 @@ def error_log(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from folioflow.plans import documents, records, translate  # noqa: F401
+    from folioflow.plans import documents, records, reports, translate  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from folioflow.plans import documents, records, translate  # noqa: F401
+    from folioflow.plans import documents, records, reports, translate  # noqa: F401
 
     return dict(_SQL)
