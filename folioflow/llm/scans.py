@@ -189,7 +189,7 @@ def corrections(counts: DataFrame) -> DataFrame:
             for i, (r, w) in enumerate(CONFUSIONS)
         ]
     )
-    hashed = counts.where("length(word) BETWEEN 2 AND 60").withColumn("h", anagram(F.col("word")))
+    hashed = counts.where("length(word) BETWEEN 2 AND 60").select("word", "n", anagram(F.col("word")).alias("h"))
     good = hashed.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")).select(F.col("word").alias("correction"), F.col("n").alias("n_correction"), "h")
     top = good.agg(F.max("n_correction")).first()[0] or 0
     # the confusions that a word can have had are found once
@@ -222,11 +222,10 @@ def repairs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     edge = settle(furniture(pages))
     body = pages.join(edge.select("line_id"), "line_id", "left_anti")
     toks = settle(tokens(body))
-    counts = toks.where("kind = 'word'").groupBy("word").agg(F.count("*").alias("n"))
     # forms that only occur divided are looked up, but aren't evidence
-    rare = counts.unionByName(toks.where("kind IN ('joined', 'hyphenated')").select("word", F.lit(0).cast("bigint").alias("n"))).groupBy("word").agg(F.max("n").alias("n"))
-    fix = settle(corrections(rare.withColumn("n", F.greatest("n", F.lit(1)))))
-    known = counts.select("word", F.col("n").alias("n_word"))
+    counts = settle(toks.where("kind IN ('word', 'joined', 'hyphenated')").groupBy("word").agg(F.count_if(F.col("kind") == "word").alias("n")))
+    fix = corrections(counts.select("word", F.greatest("n", F.lit(1)).alias("n")))
+    known = counts.where("n > 0").select("word", F.col("n").alias("n_word"))
 
     ends = toks.where("kind <> 'word'").join(known, "word", "left").join(fix.select("word", "correction"), "word", "left")
     by = ends.groupBy("line_id", "next_id", "left_len", "mark").agg(
