@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.arrow import map_rows
 from folioflow.functions import text as T
 from folioflow.operators.units import is_done
+from folioflow.tables import settle
 
 
 def _warn(code: str, when: Column, detail: Column | None = None) -> Column:
@@ -116,7 +117,8 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
     Two word sets with that Dice share a word among the rarest
     n − ceil(n·d/(2 − d)) + 1 of each, so only those prefixes are joined: no
     match is lost and frequent words make no pairs. Equal texts join by
-    their hash. ``least`` must exceed one half.
+    their hash. ``least`` must exceed one half. Texts and words are settled
+    (actions).
     """
     if least <= 0.5:
         raise ValueError("a bound of one half or less has no common word to join on")
@@ -127,12 +129,13 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
         t = df.select(F.col("id").alias(name), "project_id", "target", T.normalize_for_match(F.col("text")).alias("t")).where("t <> ''")
         return t
 
-    q, m = side(queries, "query_id"), side(memory, "match_id")
+    # the normalised texts are read three times, so they are worked out once
+    q, m = settle(side(queries, "query_id")), settle(side(memory, "match_id"))
 
     def made(df: DataFrame, key: str, name: str, bigrams: bool) -> DataFrame:
         return features(df.withColumnRenamed(key, "_id"), name, bigrams).withColumnRenamed("_id", key)
 
-    qa, mb = made(q, "query_id", "a", False), made(m, "match_id", "b", False)
+    qa, mb = made(q, "query_id", "a", False), settle(made(m, "match_id", "b", False))
     gq = qa.select("query_id", "project_id", "target", F.size("a.words").alias("n"), F.explode("a.words").alias("g"))
     gm = mb.select("match_id", "project_id", "target", F.size("b.words").alias("n"), F.explode("b.words").alias("g"))
     rarity = gm.groupBy("g").agg(F.count("*").alias("f"))
