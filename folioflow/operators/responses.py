@@ -97,3 +97,14 @@ def rate_hints(headers: Column, now_ms: Column) -> Column:
 def missing_glyphs(text: Column, covered: str) -> Column:
     """The distinct characters that a font with the class ``covered`` lacks, in order of first use; white space is never missing."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^{covered}\s]"), F.lit(0)))
+
+
+#: Wordings with which a maker refuses an optional parameter of a request.
+OUTPUT_PARAM = r"(?i)max[_\s-]*(?:output[_\s-]*)?(?:completion[_\s-]*)?tokens?|maximum(?:\s+number\s+of)?\s+tokens?|too many tokens|token limit"
+FORMAT_PARAM = r"(?i)response[_\s-]?(?:format|mime)|json[_\s-]?(?:object|mode)|structured output|mime type"
+
+
+def refused_parameter(error_class: Column, message: Column) -> Column:
+    """output_tokens or response_format where a rejected request's message names it, else null."""
+    m = F.coalesce(message, F.lit(""))
+    return F.when(error_class == "rejected", F.when(m.rlike(OUTPUT_PARAM), "output_tokens").when(m.rlike(FORMAT_PARAM), "response_format"))

@@ -133,3 +133,44 @@ def deep_redacted(spark, d):
     g = table(spark, d, "generate_result")
     rows = g.select("result_id", F.to_json(F.struct(*[c for c in g.columns if c != "result_id"])).alias("json")).distinct()
     return records.deep_redact(rows, "result_id", "json").select("result_id", F.md5("record").alias("h"), F.contains("record", F.lit("[redacted]")).alias("redacted"))
+
+
+_REFUSED = "CASE coalesce(input_tokens, 0) % 5 WHEN 0 THEN 'max_completion_tokens is too large' WHEN 1 THEN 'Response-Format json_object is not supported' WHEN 2 THEN 'maximum number of tokens' WHEN 3 THEN left(coalesce(text, ''), 200) END"
+
+
+@query(
+    f"""SELECT DISTINCT result_id, CASE WHEN coalesce(output_tokens, 0) % 2 = 0 THEN CASE WHEN regexp_matches(coalesce(m, ''), '{responses.OUTPUT_PARAM}') THEN 'output_tokens' WHEN regexp_matches(coalesce(m, ''), '{responses.FORMAT_PARAM}') THEN 'response_format' END END AS refused
+    FROM (SELECT *, {_REFUSED} AS m FROM generate_result)"""
+)
+def refused_parameters(spark, d):
+    r = table(spark, d, "generate_result").selectExpr("result_id", "CASE WHEN coalesce(output_tokens, 0) % 2 = 0 THEN 'rejected' ELSE 'server_error' END AS c", f"{_REFUSED} AS m")
+    return r.select("result_id", responses.refused_parameter(F.col("c"), F.col("m")).alias("refused")).distinct()
+
+
+_MADE = "CASE length(text) % 4 WHEN 0 THEN 'gsk_' || left(sha256(result_id), 20) WHEN 1 THEN 'sk-or-v1-' || sha256(result_id) WHEN 2 THEN ' ' || left(sha256(result_id), length(text) % 30) END"
+
+
+@query(
+    f"""SELECT DISTINCT result_id, CASE maker WHEN 'groq' THEN regexp_matches(k, '{usage.KEY_FORMS["groq"]}') WHEN 'openrouter' THEN regexp_matches(k, '{usage.KEY_FORMS["openrouter"]}') ELSE length(k) >= 16 END AS well_formed
+    FROM (SELECT result_id, CASE length(result_id || coalesce(text, '')) % 3 WHEN 0 THEN 'groq' WHEN 1 THEN 'openrouter' ELSE 'other' END AS maker, trim(coalesce({_MADE}, '')) AS k FROM generate_result)"""
+)
+def key_forms(spark, d):
+    made = _MADE.replace("sha256(result_id)", "sha2(result_id, 256)")
+    r = table(spark, d, "generate_result").selectExpr("result_id", "CASE length(result_id || coalesce(text, '')) % 3 WHEN 0 THEN 'groq' WHEN 1 THEN 'openrouter' ELSE 'other' END AS maker", f"{made} AS k")
+    return r.select("result_id", usage.looks_like_key(F.col("maker"), F.col("k")).alias("well_formed")).distinct()
+
+
+@query(
+    """SELECT provider, CAST(day AS VARCHAR) AS day, requests FROM (SELECT provider_id AS provider, CAST(received_at AS DATE) AS day, count(DISTINCT result_id) AS requests FROM generate_result WHERE provider_id IS NOT NULL AND received_at IS NOT NULL GROUP BY 1, 2)
+    ORDER BY day DESC, provider LIMIT 8"""
+)
+def usage_recent(spark, d):
+    g = table(spark, d, "generate_result").where("provider_id IS NOT NULL AND received_at IS NOT NULL")
+    n = g.groupBy(F.col("provider_id").alias("provider"), F.col("received_at").cast("date").alias("day")).agg(F.countDistinct("result_id").alias("requests"))
+    return n.orderBy(F.desc("day"), "provider").limit(8).select("provider", F.col("day").cast("string").alias("day"), "requests")
+
+
+@query("SELECT key_id FROM (SELECT key_id, min(received_at) AS made FROM generate_result WHERE key_id IS NOT NULL GROUP BY 1) ORDER BY made DESC NULLS LAST, key_id LIMIT 20")
+def keys_listed(spark, d):
+    k = table(spark, d, "generate_result").where("key_id IS NOT NULL").groupBy("key_id").agg(F.min("received_at").alias("made"))
+    return k.orderBy(F.desc_nulls_last("made"), "key_id").limit(20).select("key_id")

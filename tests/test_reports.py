@@ -55,3 +55,10 @@ def test_names(spark):
     assert [tuple(r) for r in df.select(translate.document_type(F.col("k"), F.col("f")), translate.document_title(F.col("t"), F.col("f"))).collect()] == [("pdf", "a.docx"), ("markdown", "T"), ("text", None)]
     g = spark.createDataFrame([("aßသ漢漢字",), (None,)], "t string")
     assert [r[0] for r in g.select(responses.missing_glyphs(F.col("t"), r"\x{0020}-\x{024F}\x{1000}-\x{109F}")).collect()] == [["漢", "字"], []]
+
+
+def test_keys_and_refusals(spark):
+    df = spark.createDataFrame([("groq", "gsk_" + "a" * 20), ("groq", "sk-x"), ("other", " " + "a" * 16), ("other", "short"), ("gemini", "AIza" + "b" * 20), ("other", None)], "m string, k string")
+    assert [r[0] for r in df.select(usage.looks_like_key(F.col("m"), F.col("k"))).collect()] == [True, False, True, False, True, False]
+    df = spark.createDataFrame([("rejected", "max_tokens too large"), ("rejected", "JSON mode unavailable"), ("auth", "max_tokens"), ("rejected", "no"), ("rejected", None)], "c string, m string")
+    assert [r[0] for r in df.select(responses.refused_parameter(F.col("c"), F.col("m"))).collect()] == ["output_tokens", "response_format", None, None, None]
