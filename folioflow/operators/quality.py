@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.arrow import map_rows
 from folioflow.functions import text as T
+from folioflow.operators import similar
 from folioflow.operators.units import is_done
 from folioflow.tables import settle
 
@@ -159,28 +160,32 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Parts into which the memory of a project and target is dealt; each query goes to all of them.
+PARTS = 8
+
+
 def suggestions(queries: DataFrame, memory: DataFrame, least: float = 0.6, k: int = 3) -> DataFrame:
     """(query_id, match_id, score, rank): the k units of the memory most similar to each query, ties to the smaller id.
 
     Both have id, project_id, target, text; ids are those of units, and a unit
-    isn't suggested for itself. Texts that are alike when normalised are
-    compared once, then all their units count: for k units, the k + 1 best
-    texts and the k + 1 first units of each suffice, as one may be the query's.
-    Null and empty texts have no suggestion.
+    isn't suggested for itself. Each normalised text moves once, to the part
+    of its project and target that a hash of it names; a query goes to all
+    PARTS of them, where it meets the texts in their turn, so that neither
+    words nor pairs are shuffled and no task has to hold a group. Texts that
+    are alike are compared once. Null and empty texts have no suggestion, nor
+    have units without project or target. ``least`` must exceed one half.
     """
+    if least <= 0.5:
+        raise ValueError("a bound of one half or less has no common word to join on")
     from pyspark.sql import Window
 
-    key = ["project_id", "target", "t"]
-    alike = lambda df: df.withColumn("t", T.normalize_for_match(F.col("text"))).where("t <> ''").select("id", *key)
-    q, m = alike(queries), alike(memory)
-    m = m.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("n") <= k + 1)
-    texts = m.where("n = 1").select("id", "project_id", "target", F.col("t").alias("text"))
-    # a query's text has an id of its own, so that it also meets its like in the memory
-    asked = q.groupBy(*key).agg(F.min("id").alias("id")).select(F.concat(F.lit("?"), "id").alias("id"), "project_id", "target", F.col("t").alias("text"))
-    best = similar_units(asked, texts, least, k + 1).select(F.col("query_id").alias("_q"), F.col("match_id").alias("_m"), "score")
-    first = Window.partitionBy(*key)
-    of_query = q.withColumn("_q", F.concat(F.lit("?"), F.min("id").over(first))).select("_q", F.col("id").alias("query_id"))
-    of_match = m.withColumn("_m", F.min("id").over(first)).select("_m", F.col("id").alias("match_id"))
-    x = of_query.join(best, "_q").join(of_match, "_m").where("query_id <> match_id").select("query_id", "match_id", "score")
+    key = ["project_id", "target", "part"]
+
+    def side(df: DataFrame, stored: bool) -> DataFrame:
+        t = df.where("project_id IS NOT NULL AND target IS NOT NULL").select("project_id", "target", F.lit(stored).alias("stored"), T.normalize_for_match(F.col("text")).alias("t"), "id").withColumn("h", F.xxhash64("t"))
+        return t.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int") if stored else F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+    rows = side(queries, False).unionByName(side(memory, True)).repartition(*key).sortWithinPartitions(*key, "stored", "h", "id")
+    best = map_rows(rows.select(*key, "stored", "t", "id"), "query_id string, match_id string, score double", lambda: similar.kernel(least, k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

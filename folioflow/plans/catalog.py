@@ -326,9 +326,11 @@ def memory_autofill(spark, d):
 
 @query()
 def memory_suggest(spark, d):
-    u = _units(spark, d, "source_text", "translated_text", "unit_status")
+    # of a translation only whether there is one moves
+    b = table(spark, d, "export_block").withColumn("filled", T.trim(F.col("translated_text")) != "")
+    u = U.units(b, "source_text", "filled", "unit_status")
     t = table(spark, d, "export_document").groupBy("document_id").agg(F.max("target_language").alias("target"))
-    m = u.where(U.is_done() & (T.trim(F.col("translated_text")) != "")).join(t, "document_id").select(F.col("block_id").alias("id"), "project_id", "target", F.col("source_text").alias("text"))
+    m = u.where(U.is_done() & F.col("filled")).join(t, "document_id").select(F.col("block_id").alias("id"), "project_id", "target", F.col("source_text").alias("text"))
     ship(spark)
     return quality.suggestions(m.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0), m)  # the stated query set, against all units
 

@@ -71,6 +71,37 @@ def test_suggestions_against_brute_force(spark):
     assert got == want
 
 
+def test_suggestions_move_each_text_once(spark):
+    """Neither words nor pairs are shuffled, whatever the batches and blocks, and nothing is lost."""
+    from folioflow.operators import similar
+
+    random.seed(6)
+    words = "the key pool opens file editor again reads list page".split()
+    texts = [(f"u{i:03}", "p", "my", " ".join(random.choice(words) for _ in range(random.randint(1, 6)))) for i in range(300)]
+    df = spark.createDataFrame([*texts, ("n", None, "my", "the key pool"), ("o", "p", None, "the key pool"), ("x", "p", "my", None)], "id string, project_id string, target string, text string")
+    made = quality.suggestions(df.where("id < 'u030' OR id > 'v'"), df)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 3 and "MapInArrow" in plan, plan
+    want = {tuple(r) for r in made.collect()}
+    assert len({q for q, *_ in want}) == 30 and all(q != m for q, m, *_ in want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {tuple(r) for r in made.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # by blocks of one text each
+    of = {t: sorted(i for i, *_, x in texts if x == t) for *_, t in texts}
+    asked = similar.Asked({t: of[t] for t in of}, 0.6, 3)
+    asked.meet({t: x[:4] for t, x in of.items()})
+    best, similar.PAIRS, every = asked.best, 1, similar.PAIRS
+    try:
+        asked = similar.Asked({t: of[t] for t in of}, 0.6, 3)
+        asked.meet({t: x[:4] for t, x in reversed(of.items())})
+    finally:
+        similar.PAIRS = every
+    assert asked.best == best
+
+
 def test_suggestions_are_registered():
     import __spark_entry__
 
