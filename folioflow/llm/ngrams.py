@@ -9,6 +9,8 @@ ones say.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 ORDERS = 5
@@ -45,17 +47,54 @@ def before(h: np.ndarray) -> np.ndarray:
     return np.concatenate((h[:1], h[:-1]))
 
 
+def real(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each place of codes() is a character or a closing mark."""
+    out = np.ones(len(x), bool)
+    for k in range(ORDERS - 1):
+        out[at[:-1] + k] = False
+    return out
+
+
+_CHAR, _LAST = 21, (1 << 21) - 1
+
+
+def tally(x: np.ndarray, at: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(high, low, count) of each gram of ORDERS characters: two numbers that spell it, and how often it occurs; they tell all that Model() needs of the texts."""
+    ends = np.flatnonzero(real(x, at))
+    a, b, c, d, e = (x[ends - k].astype(np.int64) for k in range(ORDERS - 1, -1, -1))
+    n = np.ones(len(ends), np.int64) if weights is None else np.repeat(weights, np.diff(at))[ends]
+    return merged(a << _CHAR | b, c << 2 * _CHAR | d << _CHAR | e, n)
+
+
+def merged(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of tally(), one for each gram."""
+    if not len(high):
+        return high, low, n
+    by = np.lexsort((low, high))
+    high, low = high[by], low[by]
+    first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]))))
+    return high[first], low[first], np.add.reduceat(n[by], first)
+
+
 class Model:
     """Log probabilities of characters after up to ORDERS - 1 others."""
 
     def __init__(self, texts: list[str], bits: int = 20, weights: np.ndarray | None = None):
         """weights: how often each text counts (once by default)."""
-        self.bits, size = bits, 1 << bits
         x, at = codes(texts)
-        real = np.ones(len(x), bool)
-        for k in range(ORDERS - 1):
-            real[at[:-1] + k] = False
-        w = np.repeat(weights if weights is not None else np.ones(len(texts)), np.diff(at))[real]
+        self._fit(x, real(x, at), np.repeat(weights if weights is not None else np.ones(len(texts)), np.diff(at)), bits)
+
+    @classmethod
+    def of(cls, counted: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int = 20) -> Model:
+        """The model of all texts whose grams tally() has counted, in any number of pieces."""
+        out, (high, low, n) = cls.__new__(cls), counted
+        x = np.stack([high >> _CHAR, high & _LAST, low >> 2 * _CHAR, low >> _CHAR & _LAST, low & _LAST], axis=1).astype(np.uint64).ravel()
+        out._fit(x, np.arange(len(x)) % ORDERS == ORDERS - 1, np.repeat(n.astype(np.float64), ORDERS), bits)
+        return out
+
+    def _fit(self, x: np.ndarray, real: np.ndarray, w: np.ndarray, bits: int) -> None:
+        self.bits, size = bits, 1 << bits
+        w = w[real]
         self.seen, self.left = [], []
         lower = np.full(int(real.sum()), np.exp(FLOOR))
         for n in range(1, ORDERS + 1):
@@ -72,12 +111,12 @@ class Model:
             lower = p
 
     def __getstate__(self):
-        """Half precision on the way to the workers."""
-        return {"bits": self.bits, "seen": [t.astype(np.float16) for t in self.seen], "left": [t.astype(np.float16) for t in self.left]}
+        """Half precision, packed, on the way to the workers: most of a table is unseen."""
+        return {"bits": self.bits} | {k: [zlib.compress(t.astype(np.float16).tobytes(), 1) for t in getattr(self, k)] for k in ("seen", "left")}
 
     def __setstate__(self, state):
         self.bits = state["bits"]
-        self.seen, self.left = ([t.astype(np.float32) for t in state[k]] for k in ("seen", "left"))
+        self.seen, self.left = ([np.frombuffer(zlib.decompress(t), np.float16).astype(np.float32) for t in state[k]] for k in ("seen", "left"))
 
     def log(self, hashed: list[np.ndarray]) -> np.ndarray:
         """Log probability of each character; ``hashed`` is of all_grams(), in this model's bits."""

@@ -153,7 +153,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 def _residue(spark, d) -> DataFrame:
     ship(spark)
     docs = table(spark, d, "documents")
-    return residue.find_residue(docs, residue.Models(residue.sample(docs)))
+    return residue.find_residue(docs, residue.fit(docs))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ in quotation marks, backticks or fenced code, is taken out of the windows first.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from folioflow.arrow import map_rows
 from folioflow.llm import ngrams
 from folioflow.llm import residue_texts as made
+from folioflow.tables import settle
 
 KINDS = ("filler", "error_page", "script_notice")
 
@@ -189,19 +191,24 @@ class Fields:
 
 
 # --- models ---------------------------------------------------------------------------------------------------------
+@functools.cache
+def _kinds() -> list[ngrams.Model]:
+    """The models of each kind of residue and of mentions, made of fixed texts."""
+    return [ngrams.Model([clean(x) for x in t.split("\n")], KIND_BITS) for t in (made.FILLER, made.ERROR, made.NOTICE, made.MENTION)]
+
+
 class Models:
     """The models of prose, words, each kind of residue and mentions; fields have theirs.
 
-    sentences: windows of a bounded sample of the corpus, residue among them.
-    Each half is first judged by models of the other half, so that no text
+    sentences: windows of a small corpus, residue among them; fit() makes
+    models of tables. Each half is first judged by models of the other half, so that no text
     vouches for itself; what is residue by that leaves the prose before the
     final models are made.
     """
 
     def __init__(self, sentences: list[str]):
         self.fields = Fields()
-        own = {k: [clean(x) for x in t.split("\n")] for k, t in (("filler", made.FILLER), ("error_page", made.ERROR), ("script_notice", made.NOTICE), ("mention", made.MENTION))}
-        self.kinds = [ngrams.Model(own[k], KIND_BITS) for k in (*KINDS, "mention")]
+        self.kinds = _kinds()
         ws = sorted(set(sentences))
         count = Counter(sentences)
         half = np.array([zlib.crc32(w.encode()) & 1 for w in ws], np.int64)
@@ -234,6 +241,21 @@ class Models:
             if len(at) >= 50:
                 self.usual[k] = (*_middle(np.array([spelt[i][0] for i in at])), *_middle(read[at]))
 
+    @classmethod
+    def counted(cls, prose: tuple, spelling: tuple, common: set[str]) -> Models:
+        """Models of the grams of windows and of words, as ngrams.tally() counts them."""
+        out = cls.__new__(cls)
+        out.fields, out.kinds, out.prose, out.common, out.usual = Fields(), _kinds(), ngrams.Model.of(prose, PROSE_BITS), common, {}
+        out.words = ngrams.Model.of(spelling, KIND_BITS) if len(spelling[0]) else None
+        return out
+
+    def __getstate__(self):
+        """What is made of fixed texts is made again by the workers."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("fields", "kinds")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state | {"fields": Fields(), "kinds": _kinds()}
+
     def read(self, ws: list[str]) -> np.ndarray:
         """Mean log probability a character of each window."""
         if not ws:
@@ -271,6 +293,12 @@ class Models:
         Strength over 1 is residue of that kind; mention is the log ratio of
         mentions; strange is of invented words, looked at only with ``words``.
         """
+        best, kind, mention, read = self.weigh(ws)
+        strange = self.strange(ws, read) if words and ws else np.zeros(len(ws))
+        return best, kind, mention, np.where(best > 1, 0.0, strange)
+
+    def weigh(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(strength, kind, mention, mean log probability a character) of each window."""
         if not ws:
             return np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         x, at = ngrams.codes(ws)
@@ -285,8 +313,7 @@ class Models:
         for i, w in enumerate(ws):
             if strange_only(w):
                 best[i], kind[i] = max(best[i], 2.0), 0
-        strange = self.strange(ws, ngrams.sums(lp, at) / n) if words else np.zeros(len(ws))
-        return best, kind, mention, np.where(best > 1, 0.0, strange)
+        return best, kind, mention, ngrams.sums(lp, at) / n
 
 
 def _middle(v: np.ndarray) -> tuple[float, float]:
@@ -301,15 +328,161 @@ def strange_only(w: str) -> bool:
     return len(words) >= REPEATS and len(set(words)) * REPEATS <= len(words)
 
 
-#: Bound of the sample for the models, in characters of its documents in the mean.
-SAMPLE_CHARS = 3_000_000
+# --- models of a table ------------------------------------------------------------------------------------------------
+def side(text: str) -> int:
+    """The half of the corpus that a window is in: 0 or 1, by its own characters, so that all of a kind are in one."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1
+
+
+def window_counts(docs: DataFrame) -> DataFrame:
+    """(side, w, n): every window of all texts, once, its half, and how often it occurs."""
+
+    def make():
+        def kernel(texts):
+            seen: Counter = Counter()
+            for t in texts:
+                if t:
+                    seen.update(windows(t))
+            return [list(map(side, seen)), list(seen), list(seen.values())]
+
+        return kernel
+
+    return map_rows(docs.select("text"), "side int, w string, n bigint", make, rows=5000).groupBy("side", "w").agg(F.sum("n").alias("n"))
+
+
+#: Steps of the counts of mean log probabilities in one unit of them; grams that a task holds before it hands them on.
+STEPS, HELD = 500, 2_000_000
+_COUNTED = "what string, side int, high bigint, low bigint, word string, n bigint"
+
+
+def counts(every: DataFrame, first: list[Models] | None = None) -> DataFrame:
+    """What models are made of, summed up over all windows of window_counts(): rows (what, side, high, low, word, n).
+
+    what: prose, spelling (grams of windows, once each, and of words, as often
+    as they occur), word, and total (of all words), for each half. With
+    ``first``, models of the halves, windows that those of the other half take
+    for residue are left out, and all counts are side 0's.
+    """
+
+    def make():
+        held: dict[tuple[str, int], list] = {}
+        plain: Counter = Counter()
+
+        def grams(what, s, counted):
+            held.setdefault((what, s), []).append(counted)
+
+        def flush():
+            out = [[] for _ in range(6)]
+            for s in (0, 1):
+                ws = [(w, n) for (what, k, w), n in plain.items() if what == "word" and k == s]
+                if ws:
+                    grams("spelling", s, ngrams.tally(*ngrams.codes([w for w, _ in ws]), np.array([n for _, n in ws], np.int64)))
+            for (what, s), parts in held.items():
+                high, low, n = ngrams.merged(*map(np.concatenate, zip(*parts)))
+                for col, v in zip(out, ([what] * len(n), [s] * len(n), high.tolist(), low.tolist(), [None] * len(n), n.tolist())):
+                    col += v
+            for (what, s, w), n in plain.items():
+                for col, v in zip(out, (what, s, None, None, w, n)):
+                    col.append(v)
+            held.clear(), plain.clear()
+            return out
+
+        def kernel(sides, texts, ns):
+            for s in (0, 1):
+                ws, n = [w for w, k in zip(texts, sides) if k == s], [n for n, k in zip(ns, sides) if k == s]
+                if not ws:
+                    continue
+                to = s
+                if first:
+                    good, to = np.flatnonzero(first[1 - s].weigh(ws)[0] <= 1).tolist(), 0
+                    ws, n = [ws[i] for i in good], [n[i] for i in good]
+                grams("prose", to, ngrams.tally(*ngrams.codes(ws)))
+                for w, k in zip(ws, n):
+                    said = WORD.findall(w)
+                    plain["total", to, None] += k * len(said)
+                    for x in said:
+                        plain["word", to, x] += k
+            for key, parts in held.items():
+                if len(parts) > 20:
+                    held[key] = [ngrams.merged(*map(np.concatenate, zip(*parts)))]
+            return flush() if sum(len(p[0]) for parts in held.values() for p in parts) + len(plain) > HELD else [[] for _ in range(6)]
+
+        kernel.last = flush
+        return kernel
+
+    rows = map_rows(every.select("side", "w", "n"), _COUNTED, make)
+    return rows.groupBy("what", "side", "high", "low", "word").agg(F.sum("n").alias("n"))
+
+
+def _models(counted: DataFrame, sides: tuple[int, ...]) -> list[Models]:
+    """The models of counts(), of each side; what is usual is still open. Of the words only those move to the driver that are common."""
+    counted = settle(counted)
+    total = {r.side: r.n for r in counted.where("what = 'total'").collect()}
+    common = F.col("n") >= F.when(F.col("side") == 0, F.lit(COMMON * total.get(0, 0))).otherwise(F.lit(COMMON * total.get(1, 0)))
+    got = counted.where("what <> 'total'").where((F.col("what") != "word") | common).toArrow().to_pydict()
+    of: dict[tuple[str, int], list[int]] = {}
+    for i, k in enumerate(zip(got["what"], got["side"])):
+        of.setdefault(k, []).append(i)
+    table = lambda what, s: tuple(np.array([got[c][i] for i in of.get((what, s), [])], np.int64) for c in ("high", "low", "n"))
+    return [Models.counted(table("prose", s), table("spelling", s), {got["word"][i] for i in of.get(("word", s), [])}) for s in sides]
+
+
+def usual(every: DataFrame, models: Models) -> dict[str, tuple[float, float, float, float]]:
+    """Medians and spreads of what the words and characters of all windows of STRANGE_WORDS words or more score, by script, to a step of 1 / STEPS.
+
+    Residue is among them; it is rare, and a median bears that.
+    """
+
+    def make():
+        def kernel(texts):
+            ws = [w for w in texts if len(WORD.findall(w)) >= STRANGE_WORDS]
+            seen: Counter = Counter()
+            for w, v, (u, _, _) in zip(ws, models.read(ws).tolist(), models.spelt(ws)):
+                seen[k := script(w), True, round(v * STEPS)] += 1
+                seen[k, False, round(float(u) * STEPS)] += 1
+            return [*map(list, zip(*seen)), list(seen.values())] if seen else [[], [], [], []]
+
+        return kernel
+
+    by: dict[tuple[str, bool], list[tuple[int, int]]] = {}
+    for r in map_rows(every.select("w"), "script string, read boolean, step bigint, n bigint", make).groupBy("script", "read", "step").agg(F.sum("n").alias("n")).collect():
+        by.setdefault((r.script, r.read), []).append((r.step, r.n))
+    middle = {k: _middle_of(v / STEPS, n) for k, x in by.items() for v, n in [np.array(sorted(x), np.int64).T] if n.sum() >= 50}
+    return {k: (*middle[k, False], *middle[k, True]) for k, read in middle if read}
+
+
+def _middle_of(v: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """_middle() of values that occur n times each."""
+
+    def median(x):
+        by = np.argsort(x)
+        return float(x[by][np.searchsorted(np.cumsum(n[by]), n.sum() / 2)])
+
+    m = median(v)
+    return m, max(0.05, 1.4826 * median(np.abs(v - m)))
+
+
+#: Up to so many characters a table's halves would know too few words.
+SMALL_CHARS = 3_000_000
+
+
+#: A table of up to so many characters is fitted in the driver.
+SMALL_CHARS = 3_000_000
+
+
+def fit(docs: DataFrame) -> Models:
+    """Models(all windows of all texts of a table), from counts over the table where that is large. Runs actions."""
+    if (docs.agg(F.sum(F.length("text"))).first()[0] or 0) <= SMALL_CHARS:
+        return Models([w for w, n in window_counts(docs).select("w", "n").collect() for _ in range(n)])
+    every = settle(window_counts(docs))
+    models = _models(counts(every, _models(counts(every), (0, 1))), (0,))[0]
+    models.usual = usual(every, models)
+    return models
 
 
 def sample(docs: DataFrame) -> list[str]:
-    """Windows of documents of about SAMPLE_CHARS characters, chosen by a hash of the text. Runs an aggregate and a bounded collect."""
-    n = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    rows = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(max(1, round(n / SAMPLE_CHARS)))) == 0).select("text").collect()
-    return [w for (t,) in rows for w in windows(t)]
+    """All windows of all texts of a small table, in the driver; no query uses it, they fit() their models."""
+    return [w for (t,) in docs.where("text IS NOT NULL").select("text").collect() for w in windows(t)]
 
 
 def find_residue(docs: DataFrame, models: Models) -> DataFrame:

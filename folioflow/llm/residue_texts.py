@@ -596,6 +596,34 @@ masukkan tanggal
 
 #: What prose has in brackets.
 ASIDES = """sic
+p 0
+pp 0
+ch 0
+fig 0
+tab 0
+see fig 0
+see p 0
+kap 0
+s 0
+abb 0
+tab 0
+vgl s 0
+cap 0
+pág 0
+fig 0
+chap 0
+tabl 0
+bab 0
+hlm 0
+гл 0
+стр 0
+с 0
+рис 0
+табл 0
+см рис 0
+см с 0
+ср с 0
+том 0
 ibid
 note
 editor’s note

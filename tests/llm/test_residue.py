@@ -1,5 +1,8 @@
 import functools
 import random
+from collections import Counter
+
+import numpy as np
 
 from folioflow.llm import ngrams
 from folioflow.llm import residue as R
@@ -74,3 +77,44 @@ def test_table(spark):
     assert {r.doc_id for r in R.exclude(docs, got).collect()} == {4, 5, 6, 7, 8, 9}
     assert R.find_residue(docs.limit(0), R.Models([])).count() == 0
     assert R.sample(docs.limit(0)) == []
+
+
+def test_models_of_all_texts(spark, monkeypatch):
+    """Above the size that the driver takes, every window of every text counts, in numpy as in the table."""
+    monkeypatch.setattr(R, "SMALL_CHARS", 0)
+    monkeypatch.setattr(R, "sample", None)
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(PROSE, k=3)) for _ in range(400)] + ["lorem ipsum dolor sit amet, consectetur adipiscing elit."] * 3 + [None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want: list[Counter] = [Counter(), Counter()]
+    for t in texts:
+        if t:
+            for w in R.windows(t):
+                want[R.side(w)][w] += 1
+    every = R.window_counts(docs)
+    assert {(r.side, r.w): r.n for r in every.collect()} == {(s, w): n for s in (0, 1) for w, n in want[s].items()}
+    rows = R.counts(every).collect()
+    for s in (0, 1):
+        assert sum(r.n for r in rows if (r.what, r.side) == ("prose", s)) == sum(len(w) + 1 for w in want[s])
+        assert {r.word: r.n for r in rows if (r.what, r.side) == ("word", s)} == Counter(x for w, n in want[s].items() for x in R.WORD.findall(w) * n)
+    first = R._models(R.counts(every), (0, 1))
+    for s in (0, 1):
+        whole = ngrams.Model(sorted(want[s]), R.PROSE_BITS)
+        for a, b in zip([*first[s].prose.seen, *first[s].prose.left], [*whole.seen, *whole.left]):
+            assert np.array_equal(np.isnan(a), np.isnan(b)) and np.mean(~np.isclose(a, b, atol=1e-4, equal_nan=True)) < 1e-4
+    got = R.fit(docs)
+    small = R.Models([w for t in texts if t for w in R.windows(t)])
+    assert got.common == small.common and np.allclose(got.usual["la"], small.usual["la"], atol=0.02)
+    for a, b in zip(got.prose.seen, small.prose.seen):
+        assert np.array_equal(np.isnan(a), np.isnan(b))
+    # residue is out of the prose
+    assert sum(map(len, want)) - sum(1 for s in (0, 1) for w in want[s] if "lorem" in w) == R.counts(every, first).where("what = 'prose' AND low % 2097152 = 3").agg({"n": "sum"}).first()[0]
+    found = R.find_residue(docs, got).collect()
+    assert {r.doc_id for r in found} == {400, 401, 402} and {r.residue for r in found} == {"filler"}
+
+
+def test_small_tables_are_whole(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(PROSE)], "doc_id bigint, text string")
+    a, b = R.fit(docs), models()
+    assert isinstance(a, R.Models) and a.usual == b.usual and a.common == b.common
+    assert all(np.array_equal(x, y, equal_nan=True) for x, y in zip(a.prose.seen, R.Models([w for t in PROSE for w in R.windows(t)]).prose.seen))
