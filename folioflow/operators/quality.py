@@ -160,32 +160,45 @@ def similar_units(queries: DataFrame, memory: DataFrame, least: float = 0.6, k:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Parts into which the memory of a project and target is dealt; each query goes to all of them.
-PARTS = 8
+#: Units that ask in one task, about: a larger project is dealt to several, each of which meets its whole memory.
+SLICE = 16_000
+
+
+def slices(units: DataFrame) -> DataFrame:
+    """(project_id, slices): projects too large for one slice. units: project_id; rows that are no units any more may count too."""
+    n = units.groupBy("project_id").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    return n.where("project_id IS NOT NULL AND slices > 1")
 
 
 def suggestions(queries: DataFrame, memory: DataFrame, least: float = 0.6, k: int = 3) -> DataFrame:
-    """(query_id, match_id, score, rank): the k units of the memory most similar to each query, ties to the smaller id.
-
-    Both have id, project_id, target, text; ids are those of units, and a unit
-    isn't suggested for itself. Each normalised text moves once, to the part
-    of its project and target that a hash of it names; a query goes to all
-    PARTS of them, where it meets the texts in their turn, so that neither
-    words nor pairs are shuffled and no task has to hold a group. Texts that
-    are alike are compared once. Null and empty texts have no suggestion, nor
-    have units without project or target. ``least`` must exceed one half.
+    """(query_id, match_id, score, rank): ``suggested`` of queries and a memory in two tables of id, project_id, target, text; they may overlap."""
+    side = lambda df, asks: df.select("id", "project_id", "target", "text", F.lit(asks).alias("asks"), F.lit(not asks).alias("stored"))
+    return suggested(side(queries, True).unionByName(side(memory, False)), None, least, k)
+
+
+def suggested(units: DataFrame, dealt: DataFrame | None = None, least: float = 0.6, k: int = 3) -> DataFrame:
+    """(query_id, match_id, score, rank): the k stored units most similar to each unit that asks, ties to the smaller id.
+
+    units: id, project_id, target, text, asks, stored; a unit isn't suggested
+    for itself. A project and target is a group; dealt has the slices of large
+    projects. Each normalised text moves once to its slice, and if stored to
+    the others of its group, so that neither words nor pairs are shuffled and
+    no task has to hold a group. Texts that are alike are compared once a
+    slice. The work grows with the pairs of a group whose lengths are near.
+    Null and empty texts have no suggestion, nor have units without project or
+    target. ``least`` must exceed one half.
     """
     if least <= 0.5:
         raise ValueError("a bound of one half or less has no common word to join on")
-    from pyspark.sql import Window
-
-    key = ["project_id", "target", "part"]
-
-    def side(df: DataFrame, stored: bool) -> DataFrame:
-        t = df.where("project_id IS NOT NULL AND target IS NOT NULL").select("project_id", "target", F.lit(stored).alias("stored"), T.normalize_for_match(F.col("text")).alias("t"), "id").withColumn("h", F.xxhash64("t"))
-        return t.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int") if stored else F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-
-    rows = side(queries, False).unionByName(side(memory, True)).repartition(*key).sortWithinPartitions(*key, "stored", "h", "id")
-    best = map_rows(rows.select(*key, "stored", "t", "id"), "query_id string, match_id string, score double", lambda: similar.kernel(least, k))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    key = ["project_id", "target", "slice"]
+    t = units.where("project_id IS NOT NULL AND target IS NOT NULL AND (asks OR stored)").select("project_id", "target", "asks", "stored", T.normalize_for_match(F.col("text")).alias("t"), "id")
+    t = t.select("*", F.length("t").alias("n"), F.xxhash64("t").alias("h"))
+    if dealt is None:
+        rows = t.withColumn("slice", F.lit(0))
+    else:
+        t = t.join(F.broadcast(dealt), "project_id", "left").withColumn("of", F.coalesce("slices", F.lit(1)))  # large projects only
+        t = t.withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+        to = F.when(F.col("stored"), F.sequence(F.lit(0), F.col("of") - 1)).otherwise(F.array("own"))
+        rows = t.withColumn("slice", F.explode(to)).withColumn("asks", F.col("asks") & (F.col("slice") == F.col("own")))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, F.desc("asks"), "n", "h", "id")
+    return map_rows(rows.select(*key, "asks", "stored", "t", "id"), "query_id string, match_id string, score double, rank int", lambda: similar.kernel(least, k))

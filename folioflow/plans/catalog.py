@@ -330,9 +330,10 @@ def memory_suggest(spark, d):
     b = table(spark, d, "export_block").withColumn("filled", T.trim(F.col("translated_text")) != "")
     u = U.units(b, "source_text", "filled", "unit_status")
     t = table(spark, d, "export_document").groupBy("document_id").agg(F.max("target_language").alias("target"))
-    m = u.where(U.is_done() & F.col("filled")).join(t, "document_id").select(F.col("block_id").alias("id"), "project_id", "target", F.col("source_text").alias("text"))
+    stored = U.is_done() & F.coalesce("filled", F.lit(False))
+    m = u.join(t, "document_id").select(F.col("block_id").alias("id"), "project_id", "target", F.col("source_text").alias("text"), F.lit(True).alias("asks"), stored.alias("stored"))
     ship(spark)
-    return quality.suggestions(m.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0), m)  # the stated query set, against all units
+    return quality.suggested(m, quality.slices(b))  # all units, finished or not, against the finished ones
 
 
 # --- usage and pools ------------------------------------------------------------------------------------------------

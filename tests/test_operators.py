@@ -273,3 +273,34 @@ def test_page_states():
     body = [run("Body text that fills the page with enough characters", 40, 100), run("to dominate the histogram over the caption words here.", 40, 116)]
     page = layout.page_state([*body, run("A small sample diagram", 100, 468, 10)], 595, 842, images=[image], links=[{"x": 40.0, "y": 90.0, "right": 240.0, "bottom": 104.0, "url": "https://example.com/docs"}], rotation=90)
     assert [b["kind"] for b in page["blocks"]] == ["paragraph", "caption"] and page["blocks"][0]["link"] == "https://example.com/docs" and page["warnings"] == ["rotated"]
+
+
+def test_all_units_ask_the_memory(spark, tmp_path, monkeypatch):
+    """memory_suggest: each unit with a text, finished or not, asks all finished units of its project, in one slice or several."""
+    from folioflow.plans import catalog
+
+    random.seed(7)
+    words = "the key pool opens file editor again reads list page".split()
+    states = ["translated", "reviewed", "pending", "failed", None]
+    rows = [(f"u{i:03}", f"d{i % 5}", random.choice("ppq"), " ".join(random.choice(words) for _ in range(random.randint(1, 5))), random.choice(["x", "x", " ", None]), random.choice(states[:2] + states), 1) for i in range(250)]
+    rows += [("e", "d0", "p", "?", "x", "reviewed", 1), ("n", "d0", "p", None, "x", "reviewed", 1), ("z", "none", "p", "the key", "x", "reviewed", 1)]
+    old = [(i, doc, p, "the key pool", "x", "reviewed", 0) for i, doc, p, *_ in rows[:20]]  # older rows of the same units
+    spark.createDataFrame(rows + old, "block_id string, document_id string, project_id string, source_text string, translated_text string, unit_status string, updated_at int").selectExpr("*", "updated_at AS ingested_at").write.parquet(f"{tmp_path}/export_block.parquet")
+    spark.createDataFrame([(f"d{i}", ["my", "my", "de"][i % 3]) for i in range(5)], "document_id string, target_language string").write.parquet(f"{tmp_path}/export_document.parquet")
+
+    def score(a, b):
+        share = lambda x, y: 2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y))
+        g = lambda t: [t[i : i + 2] for i in range(len(t) - 1)]
+        return 1.0 if a == b else 0.5 * share(a.split(), b.split()) + 0.5 * share(g(a), g(b))
+
+    target = {f"d{i}": ["my", "my", "de"][i % 3] for i in range(5)}
+    units = [(i, (p, target[doc]), t, s in ("translated", "reviewed") and (a or " ").strip() != "") for i, doc, p, t, a, s, _ in rows if doc in target and (t or "?") != "?"]
+    want = set()
+    for i, group, t, _ in units:
+        found = sorted((-score(t, x), j) for j, g, x, done in units if done and g == group and j != i)
+        want |= {(i, j, r + 1, round(-s, 9)) for r, (s, j) in enumerate([x for x in found if x[0] <= -0.6][:3])}
+    assert len({i for i, *_ in want}) > 50 and {i for i, *_ in want} - {i for i, _, _, done in units if done}
+    for most in (16_000, 7):
+        monkeypatch.setattr(quality, "SLICE", most, raising=False)
+        got = [(r.query_id, r.match_id, r.rank, round(r.score, 9)) for r in catalog.memory_suggest(spark, str(tmp_path)).collect()]
+        assert len(got) == len(want) and set(got) == want
