@@ -18,6 +18,8 @@ FREQUENT = 256
 BUCKETS = 128
 #: Pairs whose bigrams are compared together.
 COMPARED = 20_000
+#: Characters whose bigrams are numbered together, and entries of words' lists that are looked at together.
+STEP = 2_000_000
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,6 +28,13 @@ def ragged(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(int(length.sum())) + np.repeat(start - at, length), at
 
 
+def stretches(length: np.ndarray) -> list[np.ndarray]:
+    """The places of all, in stretches of lengths that come to about STEP."""
+    done = np.cumsum(length)
+    cuts = np.unique(np.searchsorted(done, np.arange(STEP, int(done[-1]) if len(done) else 0, STEP), side="right"))
+    return [x for x in np.split(np.arange(len(length)), cuts) if len(x)]
+
+
 def occurrence(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, code, how many like it came before) sorted by owner and code: with occurrences apart, a multiset is a set."""
     key = np.sort(owner.astype(np.int64) << 32 | code.astype(np.int64))
@@ -98,17 +107,23 @@ class Asked:
         self.with_word = owner[np.argsort(flat, kind="stable")]
         self.word_n = np.bincount(flat, minlength=len(count) - self.frequent)
         self.word_at = np.cumsum(self.word_n) - self.word_n
-        pairs, self.n_pairs = bigrams(own)
-        self.buckets = buckets(pairs, self.n_pairs)
-        self.pair, code = np.unique(pairs, return_inverse=True)
-        owner, code, before = occurrence(np.repeat(np.arange(many), self.n_pairs), code)
-        end = np.append(before[1:] == 0, True)  # the last of its kind has the count
-        self.pair_id, self.pair_count = code[end].astype(np.int32), (before[end] + 1).astype(np.int32)
-        self.pair_n = np.bincount(owner[end], minlength=many)
+        parts = [self._pairs([own[i] for i in x]) for x in stretches(np.array([len(t) for t in own]))]
+        self.n_pairs, self.buckets, pair, self.pair_count, self.pair_n = (np.concatenate(x) for x in zip(*parts))
+        self.pair, code = np.unique(pair, return_inverse=True)
+        self.pair_id = code.astype(np.int32)
         self.pair_at = np.cumsum(self.pair_n) - self.pair_n
         self.best: list[list[tuple[float, str]]] = [[] for _ in own]
         self.bound = np.full(many, least)
 
+    @staticmethod
+    def _pairs(texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Bigrams of each text, their buckets, the different ones text by text, how often they occur there, and how many a text has."""
+        pairs, n = bigrams(texts)
+        kinds, code = np.unique(pairs, return_inverse=True)
+        owner, code, before = occurrence(np.repeat(np.arange(len(n)), n), code)
+        end = np.append(before[1:] == 0, True)  # the last of its kind has the count
+        return n, buckets(pairs, n), kinds[code[end]], (before[end] + 1).astype(np.int32), np.bincount(owner[end], minlength=len(n))
+
     def meet(self, memory: dict[str, list[str]]) -> None:
         """Take the units of a memory into the best; memory: ids by text, the first k + 1 of each."""
         texts, step = sorted(memory, key=len), max(1, PAIRS // len(self.ids))
@@ -140,11 +155,12 @@ class Asked:
         matrix[row[often], number[often]] = 1
         common = matrix @ (self.matrix if len(some) == len(self.ids) else self.matrix[some]).T
         row, number = row[~often], number[~often] - self.frequent
-        at, _ = ragged(self.word_at[number], self.word_n[number])
-        to = np.full(len(self.ids), -1)
-        to[some] = np.arange(len(some))
-        row, to = np.repeat(row, self.word_n[number]), to[self.with_word[at]]
-        np.add.at(common.reshape(-1), row[to >= 0] * len(some) + to[to >= 0], np.float32(1))
+        place = np.full(len(self.ids), -1)
+        place[some] = np.arange(len(some))
+        for x in stretches(self.word_n[number]):
+            at, _ = ragged(self.word_at[number[x]], self.word_n[number[x]])
+            of, to = np.repeat(row[x], self.word_n[number[x]]), place[self.with_word[at]]
+            np.add.at(common.reshape(-1), of[to >= 0] * len(some) + to[to >= 0], np.float32(1))
 
         f = np.float32
         reach = np.minimum(size[:, None].astype(f), self.n_pairs[some].astype(f))
